@@ -1,10 +1,14 @@
 """The subpackage's queries, and their SQL where it can say the same."""
 
 from quillgraph.llm.bpe import op10_byte_bpe
+from quillgraph.llm.minhash import op7_minhash_fingerprints
+from quillgraph.llm.packing import op5_best_fit_packing
 from quillgraph.llm.simhash import op1_simhash_near_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_minhash_fingerprints": op7_minhash_fingerprints,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE = {}
