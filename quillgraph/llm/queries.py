@@ -1,14 +1,21 @@
 """The subpackage's queries, and their SQL where it can say the same."""
 
+from quillgraph.llm.block_naming import OP4_SQL, op4_exact_dedup
 from quillgraph.llm.bpe import op10_byte_bpe
 from quillgraph.llm.minhash import op7_minhash_fingerprints
 from quillgraph.llm.packing import op5_best_fit_packing
 from quillgraph.llm.simhash import op1_simhash_near_dedup
+from quillgraph.llm.url_filter import op8_sql, op8_url_filters
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op4_exact_dedup": op4_exact_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_minhash_fingerprints": op7_minhash_fingerprints,
+    "op8_url_filters": op8_url_filters,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE = {}
+ORACLE = {
+    "op4_exact_dedup": OP4_SQL,
+    "op8_url_filters": op8_sql(),
+}
