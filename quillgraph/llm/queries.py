@@ -2,6 +2,8 @@
 
 from quillgraph.llm.block_naming import OP4_SQL, op4_exact_dedup
 from quillgraph.llm.bpe import op10_byte_bpe
+from quillgraph.llm.language_id import op3_language_id
+from quillgraph.llm.license_scan import op6_license_scan, op6_sql
 from quillgraph.llm.minhash import op7_minhash_fingerprints
 from quillgraph.llm.packing import op5_best_fit_packing
 from quillgraph.llm.simhash import op1_simhash_near_dedup
@@ -9,13 +11,16 @@ from quillgraph.llm.url_filter import op8_sql, op8_url_filters
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_license_scan": op6_license_scan,
     "op7_minhash_fingerprints": op7_minhash_fingerprints,
     "op8_url_filters": op8_url_filters,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE = {
     "op4_exact_dedup": OP4_SQL,
+    "op6_license_scan": op6_sql(),
     "op8_url_filters": op8_sql(),
 }
