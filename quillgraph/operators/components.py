@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share; a temporary one only where it is unset."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """Cut lineage: write df to the shared folder and read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
