@@ -4,32 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+#: Bits of the filter that keeps rows without a match from moving. Its size is fixed: a fuller one lets more rows through.
+FILTER_BITS = 1 << 23
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_texts(df: DataFrame, text: str, fields: str, each: Callable[[list], tuple]) -> DataFrame:
-    """df without its text column, and the fields that ``each`` computes from a list of texts.
+def map_texts(df: DataFrame, text: str, fields: str, each: Callable[[list], tuple], keep: bool = False) -> DataFrame:
+    """df without its text column (with it if ``keep``), and the fields that ``each`` computes from a list of texts.
 
     ``each`` returns ``(rows, columns)``: which of the texts each row comes from (None: one row for
     each text) and a list of columns. All other columns pass as Arrow arrays, untouched, so NULL
     keys and large integers stay as they are. A batch is cut where its texts reach 4 MB, so that long texts
     don't add up.
     """
-    kept = [c for c in df.columns if c != text]
+    kept = [c for c in df.columns if keep or c != text]
     added = _parse_datatype_string(fields)
     schema = StructType([df.schema[c] for c in kept] + added.fields)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            sizes = pa.compute.fill_null(pa.compute.binary_length(whole.column(text)), 0).to_pylist()
+            sizes = pc.fill_null(pc.binary_length(whole.column(text)), 0).to_pylist()
             start = total = 0
             for k, size in enumerate([*sizes, None]):
                 if size is None or total and total + size > 4_000_000:
@@ -43,3 +49,27 @@ def map_texts(df: DataFrame, text: str, fields: str, each: Callable[[list], tupl
                 total += size or 0
 
     return df.mapInArrow(run, schema)
+
+
+def intervals(flags: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last) of each maximal run of set flags."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
+    return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True))
+
+
+def where_marked(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """rows whose ``row`` may be in marked: all that are, and few others, by a filter of a fixed size."""
+    bit = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
+    words = marked.select(bit.alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("m"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    for w, m in words.toPandas().itertuples(index=False):
+        bits[w] = m
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    names = rows.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = b.column("p").to_numpy(zero_copy_only=False)
+            yield b.select(names).filter(pa.array((shared.value[p >> 6] >> (p & 63)) & 1 == 1))
+
+    return rows.withColumn("p", bit).mapInArrow(keep, rows.schema)

@@ -155,15 +155,15 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     return fit(model, [(index[y], np.asarray(at), np.asarray(c)) for y, at, c in zip(sample["lang"], sample["f"], sample["n"], strict=True)])
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with ``lang_pred`` and ``score`` in place of the text. The model is broadcast: languages x 2^BITS weights at most."""
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: bool = False) -> DataFrame:
+    """docs with ``lang_pred`` and ``score`` in place of the text, or beside it if ``keep``. The model is broadcast: languages x 2^BITS weights at most."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(texts: list) -> tuple:
         found = [shared.value.predict(t) for t in texts]
         return None, [[x for x, _ in found], [p for _, p in found]]
 
-    return map_texts(docs, text, "lang_pred string, score double", each)
+    return map_texts(docs, text, "lang_pred string, score double", each, keep)
 
 
 def held_out(key: Column) -> Column:
