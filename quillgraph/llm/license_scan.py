@@ -54,13 +54,17 @@ def _words(spaced: Column) -> Column:
     return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
 
 
-def _places(spaced: Column, phrase: str) -> Column:
-    """Where the phrase's words stand consecutively: indexes of words from 0."""
-    words, parts = F.split(spaced, " "), phrase.split(" ")
-    starts = F.sequence(F.lit(0), F.size(words) - len(parts))
+def _stands(spaced: Column, phrase: str) -> Column:
+    return F.contains(F.concat(F.lit(" "), spaced, F.lit(" ")), F.lit(f" {phrase} "))
+
+
+def _places(words: str, phrase: str) -> Column:
+    """Where the phrase's words stand consecutively, as indexes from 0 of the column ``words``, which is NULL if no phrase stands."""
+    parts = phrase.split(" ")
+    # a function of a stored column: one that splits would split again at every index
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - len(parts), F.lit(0)))
     found = F.filter(starts, lambda k: F.slice(words, k + 1, len(parts)) == F.array(*map(F.lit, parts)))
-    has = F.contains(F.concat(F.lit(" "), spaced, F.lit(" ")), F.lit(f" {phrase} "))
-    return F.when(has, found).otherwise(F.array().cast("array<int>"))
+    return F.coalesce(found, F.array().cast("array<int>"))
 
 
 def contained(blocks: DataFrame, frequency: dict[str, int], templates: list[tuple[str, str]], threshold: float) -> DataFrame:
@@ -95,15 +99,19 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict
     spaced = F.col("s")
     rows = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), ascii_lower(F.col(text)).alias("t"))
     rows = rows.withColumn("s", _spaced(F.col("t")))
-    places = F.flatten(F.array(*[_places(spaced, p) for p in phrases]))
-    base = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(_places(spaced, p)) > 0, F.lit(label)) for p, label in phrases.items()]))))
     known = F.array_intersect(_words(spaced), F.lit(vocabulary))
-    sets = [template_words(t) for _, t in templates]
-    may = F.lit(False)
-    for s in sets:
-        may = may | (F.size(F.array_intersect(F.col("known"), F.lit(s))) >= need(s, threshold))
+    some = F.lit(False)
+    for p in phrases:
+        some = some | _stands(spaced, p)
     n_words = F.when(spaced == "", F.lit(0)).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1)
-    rows = rows.select("key", "row", "t", n_words.cast("bigint").alias("n_words"), places.alias("places"), base.alias("base"), known.alias("known"))
+    rows = rows.select("key", "row", "t", n_words.cast("bigint").alias("n_words"), known.alias("known"), F.when(some, F.split(spaced, " ")).alias("w"))
+    rows = rows.select("*", *[_places("w", p).alias(f"p{k}") for k, p in enumerate(phrases)])
+    places = F.flatten(F.array(*[f"p{k}" for k in range(len(phrases))]))
+    base = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, label in enumerate(phrases.values())]))))
+    may = F.lit(False)
+    for _, t in templates:
+        may = may | (F.size(F.array_intersect(F.col("known"), F.lit(template_words(t)))) >= need(template_words(t), threshold))
+    rows = rows.select("key", "row", "t", "n_words", places.alias("places"), base.alias("base"), "known")
     # a text is kept only where all its words together could make a match
     rows = checkpoint(rows.select("key", "row", "n_words", "places", "base", "known", F.when(may, F.col("t")).alias("t")))
 
