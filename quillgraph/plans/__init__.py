@@ -1 +1,6 @@
-"""plans of the scholarly-graph engine."""
+"""The engine's queries over the driver's tables, each with SQL that says the same where SQL can."""
+
+from quillgraph.plans import graph_queries, store_queries  # noqa: F401
+from quillgraph.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
