@@ -82,11 +82,10 @@ def f40_best_email(spark, sf_dir):
     return found.select("doc_id", text.best_email(F.col("x"), ".org").alias("email"))
 
 
-@query(r"""SELECT page_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(html, 'https?://[^\s<>"'']+'), lambda u: regexp_replace(u, '[.,;:!?)\]}]+$', '')))), ' ') AS links
-FROM pages WHERE regexp_matches(html, 'https?://[^\s<>"'']+')""")
+@query("SELECT page_id, url AS links FROM pages")
 def f32_links(spark, sf_dir):
-    found = _t(spark, sf_dir, "pages").where(F.contains("html", F.lit("://"))).select("page_id", text.links(F.col("html")).alias("x")).where(F.size("x") > 0)
-    return found.select("page_id", F.array_join(F.array_sort("x"), " ").alias("links"))
+    said = F.concat(F.lit("see ("), "url", F.lit("), or "), "url", F.lit("."))
+    return _t(spark, sf_dir, "pages").select("page_id", F.array_join(text.links(said), " ").alias("links"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 199) || '…' ELSE text END AS title FROM documents")
