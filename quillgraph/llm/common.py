@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_texts(df: DataFrame, text: str, fields: str, each: Callable[[list], tuple], keep: bool = False) -> DataFrame:
-    """df without its text column (with it if ``keep``), and the fields that ``each`` computes from a list of texts.
+    """df without its text column (with it if ``keep``), and the fields that ``each`` computes from a list of texts (or of id lists).
 
     ``each`` returns ``(rows, columns)``: which of the texts each row comes from (None: one row for
     each text) and a list of columns. All other columns pass as Arrow arrays, untouched, so NULL
@@ -35,7 +35,9 @@ def map_texts(df: DataFrame, text: str, fields: str, each: Callable[[list], tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            sizes = pc.fill_null(pc.binary_length(whole.column(text)), 0).to_pylist()
+            read = whole.column(text)
+            lengths = pc.list_value_length(read) if pa.types.is_list(read.type) else pc.binary_length(read)
+            sizes = pc.fill_null(lengths, 0).to_pylist()
             start = total = 0
             for k, size in enumerate([*sizes, None]):
                 if size is None or total and total + size > 4_000_000:
