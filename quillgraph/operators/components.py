@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.operators.checkpoints import checkpoint, shared_folder
+from quillgraph.operators.skew import join_counted
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share; a temporary one only where it is unset."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage: write df to the shared folder and read it from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["checkpoint", "connected_components", "shared_folder", "spark_session"]
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -30,8 +19,8 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """``(node, component)`` of every node that has an edge; the component is its smallest node.
 
     Alternates large-star and small-star steps until the edges no longer change. Every step is a
-    partially aggregated minimum and an equi-join, so a hub costs no more than its edges, and no
-    step makes more rows than it reads. Loops and NULL ends are ignored; an empty input gives an
+    partially aggregated minimum and an equi-join in which a hub's edges are dealt out, and no step
+    makes more rows than it reads. Loops and NULL ends are ignored; an empty input gives an
     empty result. Nodes may be of any ordered type.
     """
     e = edges.select(F.col(src).alias("x"), F.col(dst).alias("y")).where("x <> y")
@@ -40,11 +29,11 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     while (now := _signature(e)) != before:
         before = now
         both = e.union(e.select("b", "a")).toDF("u", "n")
-        low = both.groupBy("u").agg(F.min("n").alias("m")).select("u", F.least("m", "u").alias("m"))
-        e = both.join(low, "u").where("n > u").select(F.col("n").alias("a"), F.col("m").alias("b"))
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
-        rest = e.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = checkpoint(low.toDF("a", "b").union(rest).where("a <> b").distinct())
+        low = both.groupBy("u").agg(F.min("n").alias("m"), F.count("*").alias("c")).select("u", F.least("m", "u").alias("m"), "c")
+        e = checkpoint(join_counted(both, low, ["u"], "c").where("n > u").select(F.col("n").alias("a"), F.col("m").alias("b")))
+        low = e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+        rest = join_counted(e, low, ["a"], "c").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = checkpoint(low.select("a", F.col("m").alias("b")).union(rest).where("a <> b").distinct())
     return e.toDF("node", "component").union(e.select("b", "b").distinct())
 
 
