@@ -1,6 +1,6 @@
 """The engine's queries over the driver's tables, each with SQL that says the same where SQL can."""
 
-from quillgraph.plans import graph_queries, map_queries, store_queries, stream_queries, text_queries  # noqa: F401
+from quillgraph.plans import entity_queries, graph_queries, map_queries, store_queries, stream_queries, text_queries  # noqa: F401
 from quillgraph.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
