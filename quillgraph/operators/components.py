@@ -30,9 +30,9 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         before = now
         both = e.union(e.select("b", "a")).toDF("u", "n")
         low = both.groupBy("u").agg(F.min("n").alias("m"), F.count("*").alias("c")).select("u", F.least("m", "u").alias("m"), "c")
-        e = checkpoint(join_counted(both, low, ["u"], "c").where("n > u").select(F.col("n").alias("a"), F.col("m").alias("b")))
+        e = checkpoint(join_counted(both, low, ["u"], "c", 2 * now[0]).where("n > u").select(F.col("n").alias("a"), F.col("m").alias("b")))
         low = e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
-        rest = join_counted(e, low, ["a"], "c").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        rest = join_counted(e, low, ["a"], "c", now[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = checkpoint(low.select("a", F.col("m").alias("b")).union(rest).where("a <> b").distinct())
     return e.toDF("node", "component").union(e.select("b", "b").distinct())
 

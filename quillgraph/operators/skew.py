@@ -12,16 +12,19 @@ MOST_HOT = 1000
 SALTS = 1024
 
 
-def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int | None = None) -> DataFrame:
     """The inner join of left with right, which has each key once and in ``n`` how many rows of left have it.
 
     Keys of more than one in MOST_HOT of those rows are looked up in a broadcast table, which
-    therefore has MOST_HOT rows at most whatever the input; their rows are dealt out by a salt. All
+    therefore has MOST_HOT rows at most, whatever the input; their rows are dealt out by a salt. All
     other keys meet by shuffle, where none can fill a task. left is read once. Join keys are not NULL.
+    total: the sum of ``n``, if known; else right is stored and summed first.
     """
     values = [c for c in right.columns if c not in keys]
-    right = checkpoint(right.select(*keys, F.struct(*values).alias("_v"), F.col(n).alias("_n")))
-    total = right.agg(F.sum("_n")).first()[0] or 0
+    right = right.select(*keys, F.struct(*values).alias("_v"), F.col(n).alias("_n"))
+    if total is None:
+        right = checkpoint(right)
+        total = right.agg(F.sum("_n")).first()[0] or 0
     hot = right.where(F.col("_n") > total / MOST_HOT).select(*keys, F.col("_v").alias("_hot"))
     cold = right.where(F.col("_n") <= total / MOST_HOT).select(*keys, F.lit(0).alias("_salt"), "_v")
     salt = F.when(F.col("_hot").isNotNull(), F.monotonically_increasing_id() % SALTS + 1).otherwise(F.lit(0)).cast("int")
