@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import table
+from quillgraph.llm.common import map_texts, table
+from quillgraph.operators.components import checkpoint, connected_components
+from quillgraph.operators.skew import join_counted
 
 WORDS, PERMUTATIONS, SEED = 5, 128, 1
 _RANDOM = np.random.Generator(np.random.PCG64(SEED))
@@ -122,5 +124,53 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return _with_next(docs, key, text, rows_each).select("k", "t", "lends").mapInArrow(compare, schema).withColumnRenamed("k", key)
 
 
+#: Bands of so many minima: of texts at 0.8 similarity, 1 in 20,000 pairs shares none.
+BANDS, BAND = 25, 5
+SIMILARITY = 0.8
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
+    """``(key, class_id)``: the smallest key that links reach; texts of that Jaccard similarity of shingles or more link.
+
+    Texts with equal shingle sets are one representative. Representatives that share a signature band are
+    candidates: each against its bucket's smallest first, and only those that this leaves apart
+    against the others, so a large group of near copies is never paired up in full and still loses no link. A
+    link counts if the sets of 32-bit shingle hashes have that similarity. NULL counts as empty; texts without a
+    word are one class. Rows with a NULL key take their representative's class (NULL if it has no key). Empty input, empty result.
+    """
+
+    def describe(texts: list) -> tuple:
+        sets = [np.unique(shingles(t or "", words)).astype(np.int64) for t in texts]
+        names = [hashlib.sha256(x.tobytes()).digest()[:16] for x in sets]
+        bands = []
+        for t in texts:
+            least = signature(t, words)
+            parts = (hashlib.blake2b(least[k * BAND : (k + 1) * BAND].tobytes(), digest_size=8, person=bytes([k])).digest() for k in range(BANDS))
+            bands.append(np.frombuffer(b"".join(parts), np.int64))
+        return None, [names, bands, sets]
+
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
+    found = checkpoint(map_texts(rows, "t", "name binary, bands array<bigint>, x array<bigint>", describe))
+    reps = checkpoint(found.groupBy("name").agg(F.min("key").alias("rep"), F.count("*").alias("n")))
+    one = found.join(reps.where("rep IS NOT NULL").select("name", "rep"), "name").where("key = rep").dropDuplicates(["name"]).select("rep", "bands", "x")
+    one = checkpoint(one)
+    placed = one.select("rep", F.explode("bands").alias("h"))
+    buckets = placed.groupBy("h").agg(F.min("rep").alias("lead"), F.count("*").alias("c")).where("c > 1")
+    placed = checkpoint(join_counted(placed, buckets, ["h"], "c"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        sides = pairs.join(one.select(F.col("rep").alias("a"), F.col("x").alias("xa")), "a").join(one.select(F.col("rep").alias("b"), F.col("x").alias("xb")), "b")
+        shared = F.size(F.array_intersect("xa", "xb"))
+        return checkpoint(sides.where(shared >= similarity * (F.size("xa") + F.size("xb") - shared)).select("a", "b"))
+
+    led = alike(placed.where("lead < rep").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
+    apart = placed.where("lead < rep").join(led, (F.col("lead") == F.col("a")) & (F.col("rep") == F.col("b")), "left_anti").select("h", F.col("rep").alias("one"))
+    rest = apart.join(placed.where("lead < rep").select("h", F.col("rep").alias("other")), "h").where("one <> other")
+    more = alike(rest.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct())
+    classes = connected_components(led.union(more), "a", "b")
+    named = reps.join(classes, reps["rep"] == classes["node"], "left").select("name", F.coalesce("component", "rep").alias("class_id"), "n")
+    return join_counted(found.select("key", "name"), named, ["name"], "n").select(F.col("key").alias(key), "class_id")
+
+
 def op7_minhash_fingerprints(spark, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))

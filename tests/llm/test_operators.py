@@ -215,6 +215,27 @@ def test_minhash(docs, empty):
     assert minhash.edited_likeness(empty).count() == 0
 
 
+def test_minhash_bands_find_every_class(docs, empty):
+    sets = [set(minhash.shingles(r[1] or "").tolist()) for r in ROWS]
+
+    def near(a, b):
+        return a == b or len(a & b) >= 0.8 * len(a | b)
+
+    label = list(range(len(ROWS)))
+    for _ in label:
+        label = [min(label[j] for j in range(len(ROWS)) if near(sets[i], sets[j])) for i in range(len(ROWS))]
+    least = {x: min((ROWS[i][0] for i in range(len(ROWS)) if label[i] == x and ROWS[i][0] is not None), default=None) for x in label}
+    assert pairs(minhash.near_duplicates(docs), "doc_id", "class_id") == Counter((r[0], least[x]) for r, x in zip(ROWS, label, strict=True))
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_minhash_near_copies_of_one_text(spark):
+    base = [f"v{k}" for k in range(300)]
+    rows = [(k, " ".join(base[:k] + ["other"] + base[k + 1 :])) for k in range(0, 300, 5)] + [(1000 + k, prose(60)) for k in range(5)]
+    found = dict(map(tuple, minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert {found[k] for k in range(0, 300, 5)} == {0} and all(found[1000 + k] == 1000 + k for k in range(5))
+
+
 def test_minhash_estimates_jaccard():
     words = [f"v{k}" for k in range(2000)]
     a, b = " ".join(words[:1000]), " ".join(words[100:1100])
