@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import map_texts, table
 from quillgraph.operators.components import checkpoint, connected_components
+from quillgraph.operators.skew import join_counted
 
 DISTANCE = 4
 _FULL = (1 << 64) - 1
@@ -197,12 +198,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     rows give repeated results. Other columns of docs are not read. Empty input, empty result.
     """
     fps = checkpoint(fingerprints(docs, key, text, words))
-    unique = checkpoint(fps.groupBy("fp").agg(F.min(key).alias("rep")))
+    unique = checkpoint(fps.groupBy("fp").agg(F.min(key).alias("rep"), F.count("*").alias("n")))
     links = near_links(unique.where("rep IS NOT NULL"))
     found = connected_components(links, "a", "b")
-    classes = unique.join(found, unique["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    classes = unique.join(found, unique["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fps.join(classes, "fp").select(key, digits.alias("fingerprint"), "component_id")
+    return join_counted(fps, classes, ["fp"], "n").select(key, digits.alias("fingerprint"), "component_id")
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
