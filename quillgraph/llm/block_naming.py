@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import table
 from quillgraph.llm.text_sql import ascii_lower
 from quillgraph.operators.components import checkpoint
+from quillgraph.operators.skew import join_counted
 
 BLOCK = 16384
 
 
-def _named(keys: DataFrame) -> DataFrame:
-    """Distinct rows of keys, sorted, with ``name``: integers that rise in that order."""
-    return checkpoint(keys.distinct().orderBy(*keys.columns).withColumn("name", F.monotonically_increasing_id()))
+def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct keys of rows, sorted, with ``name``, integers that rise in that order, and ``n``, how many rows have them."""
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    return checkpoint(counted.orderBy(*keys).withColumn("name", F.monotonically_increasing_id()))
 
 
 def _blocks(text: Column, size: int) -> Column:
@@ -56,8 +58,8 @@ def identities(docs: DataFrame, key: str = "doc_id", text: str = "text", block:
         ties = same.join(ties, "b").select("row", "at", "tie")
         current = current.join(ties, ["row", "at"], "left").withColumn("tie", F.coalesce("tie", F.lit(0)))
 
-    names = _named(current.select("h", "size", "tie"))
-    current = checkpoint(current.join(names, ["h", "size", "tie"]).select("key", "row", "at", "name", "sha"))
+    names = _named(current, ["h", "size", "tie"])
+    current = checkpoint(join_counted(current, names, ["h", "size", "tie"], "n").select("key", "row", "at", "name", "sha"))
     several = current.where("at = 1").select("row")
     done = current.join(several, "row", "left_anti").select("key", "sha", F.lit(0).alias("level"), "name")
     current, level = current.join(several, "row", "left_semi"), 0
@@ -70,7 +72,7 @@ def identities(docs: DataFrame, key: str = "doc_id", text: str = "text", block:
             F.max("sha").alias("sha"),
         )
         pairs = checkpoint(pairs)
-        current = checkpoint(pairs.join(_named(pairs.select("left", "right")), ["left", "right"]).select("key", "row", "at", "name", "sha"))
+        current = checkpoint(join_counted(pairs, _named(pairs, ["left", "right"]), ["left", "right"], "n").select("key", "row", "at", "name", "sha"))
         several = current.where("at = 1").select("row")
         done = done.union(current.join(several, "row", "left_anti").select("key", "sha", F.lit(level), "name"))
         current = current.join(several, "row", "left_semi")
@@ -86,7 +88,7 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", b
     """
     found = checkpoint(identities(docs, key, text, block))
     groups = found.groupBy("level", "name").agg(F.max(key).alias("keep_id"), F.count("*").alias("group_size"))
-    joined = found.join(groups, ["level", "name"])
+    joined = join_counted(found, groups, ["level", "name"], "group_size")
     return joined.select(key, "keep_id", "group_size", F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
