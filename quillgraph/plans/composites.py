@@ -76,10 +76,9 @@ def c02_departments(t):
     return t["persons"].select("per", "did").union(found).groupBy("per").agg(F.array_join(F.array_sort(F.collect_set(F.col("did").cast("string"))), ",").alias("dids"))
 
 
-@graph_query(""", x AS (SELECT a.pid AS a, b.pid AS b, a.type AS ta, b.type AS tb, abs(a.date - b.date) AS gap FROM publications a JOIN publications b ON a.venue = b.venue AND a.title = b.title AND a.pid < b.pid
-JOIN (SELECT venue, title FROM publications GROUP BY 1, 2 HAVING count(*) <= 45) USING (venue, title))
+@graph_query(""", x AS (SELECT a.pid AS a, b.pid AS b, a.type AS ta, b.type AS tb, abs(a.date - b.date) AS gap FROM publications a JOIN publications b ON a.venue = b.venue AND a.title = b.title AND a.pid < b.pid)
 SELECT CASE WHEN ta = 'F' AND tb <> 'F' THEN b ELSE a END AS version, CASE WHEN ta = 'F' AND tb <> 'F' THEN a ELSE b END AS work,
-CASE WHEN gap <= 30 THEN 'SAME' WHEN ta <> tb THEN 'CONFERENCE_JOURNAL' WHEN gap <= 365 THEN 'RELATED' ELSE 'DIFFERENT' END AS bucket FROM x""".replace("ON a.venue = b.venue AND a.title = b.title AND a.pid < b.pid\nJOIN (SELECT venue, title FROM publications GROUP BY 1, 2 HAVING count(*) <= 45) USING (venue, title))", "ON a.venue = b.venue AND a.title = b.title AND a.pid < b.pid)"))
+CASE WHEN gap <= 30 THEN 'SAME' WHEN ta <> tb THEN 'CONFERENCE_JOURNAL' WHEN gap <= 365 THEN 'RELATED' ELSE 'DIFFERENT' END AS bucket FROM x""")
 def c13_version_edges(t):
     p = t["publications"].withColumn("day", F.unix_date("date"))
     pairs = blocking.channel_pairs(p, "pid", {"title": (F.concat_ws("|", "venue", "title"), 45)})

@@ -42,7 +42,7 @@ def a01_coauthor_weight(t):
 
 
 @query("""SELECT a.pid AS a, b.pid AS b, 1 AS w FROM publications a JOIN publications b ON a.venue = b.venue AND a.pid < b.pid
-JOIN (SELECT venue FROM publications GROUP BY venue HAVING count(*) <= 60) USING (venue)""".replace("USING (venue)", "v ON v.venue = a.venue"))
+JOIN (SELECT venue FROM publications GROUP BY venue HAVING count(*) <= 60) v ON v.venue = a.venue""")
 def a02_publication_pair_weight(t):
     return edges.pair_weights(t["publications"], "venue", "pid", 60).withColumn("w", F.col("w").cast("int"))
 
@@ -306,9 +306,9 @@ def u06_jaccard(t):
     return pairs.select("a", "b", F.round(jaccard(F.col("a_d"), F.col("b_d")), 6).alias("likeness"))
 
 
-@query("""SELECT per AS a, pid AS b, CASE WHEN r.per IS NULL THEN 'delete' WHEN l.per IS NULL THEN 'create' ELSE 'update' END AS action FROM
+@query("""SELECT per AS a, pid AS b, CASE WHEN r.position IS NULL THEN 'delete' WHEN l.position IS NULL THEN 'create' ELSE 'update' END AS action FROM
 (SELECT per, pid, position FROM authorship WHERE pid % 3 <> 0) l FULL JOIN (SELECT per, pid, CASE WHEN corresponding THEN 99 ELSE position END AS position FROM authorship WHERE pid % 3 <> 1) r USING (per, pid)
-WHERE l.position IS DISTINCT FROM r.position""".replace("r.per IS NULL", "r.position IS NULL").replace("l.per IS NULL", "l.position IS NULL"))
+WHERE l.position IS DISTINCT FROM r.position""")
 def u04_edge_diff(t):
     a = t["authorship"].select(F.col("per").alias("a"), F.col("pid").alias("b"), "position", "corresponding")
     live, desired = a.where("b % 3 <> 0"), a.where("b % 3 <> 1").withColumn("position", F.when(F.col("corresponding"), 99).otherwise(F.col("position")))
