@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import intervals, map_texts, table, where_marked
 from quillgraph.operators.components import checkpoint
+from quillgraph.operators.skew import join_counted
 
 WINDOW, GRAM = 400, 300
 SPAN = WINDOW - GRAM + 1
@@ -240,10 +241,10 @@ def repeated_starts(rows: DataFrame) -> DataFrame:
         return text, [h.view(np.int64), digest.view(np.int64), anchor.astype(np.int32), first.astype(np.int32), last.astype(np.int32)]
 
     found = map_texts(rows, "b", "h bigint, d bigint, s int, first int, last int", runs)
-    often = found.select("h").groupBy("h").count().where("count > 1").select("h")
-    found = checkpoint(found.join(often, "h"))
+    often = found.select("h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    found = checkpoint(join_counted(found, often, ["h"], "n").drop("n"))
     groups = checkpoint(found.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(F.struct("row", "s", "first", "last")).alias("x")))
-    whole = found.join(groups.where("n > 1").select("h", "d"), ["h", "d"]).select("row", "first", "last")
+    whole = join_counted(found, groups.where("n > 1").select("h", "d", "n"), ["h", "d"], "n").select("row", "first", "last")
 
     # runs that share an anchor's hash, but not all bytes: one of each is compared
     mixed = groups.groupBy("h").count().where("count > 1").select("h")
