@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import intervals, map_texts, table, where_marked
 from quillgraph.operators.components import checkpoint
+from quillgraph.operators.skew import join_counted
 
 MIN_WORDS = 8
 _LINE = re.compile(r"[^\n]+")
@@ -48,10 +49,10 @@ def repeated_units(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     found = map_texts(rows, "t", "start int, length int, d bigint, e bigint", each)
     # half of the digest settles for most units that nothing repeats them
-    often = found.select("d").groupBy("d").count().where("count > 1").select("d")
-    found = checkpoint(found.join(often, "d").withColumn("rank", F.struct("key", "start", "row")))
-    first = found.groupBy("d", "e").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return found.join(first, ["d", "e"]).where("rank > first").select("row", "start", "length")
+    often = found.select("d").groupBy("d").agg(F.count("*").alias("n")).where("n > 1")
+    found = checkpoint(join_counted(found, often, ["d"], "n").drop("n").withColumn("rank", F.struct("key", "start", "row")))
+    first = found.groupBy("d", "e").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return join_counted(found, first, ["d", "e"], "n").where("rank > first").select("row", "start", "length")
 
 
 def drop_repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, with_text: bool = False) -> DataFrame:
