@@ -40,7 +40,7 @@ def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, byt
 
 
 def repeated_units(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(row, start, length)`` of the units that an earlier one repeats; of rows (row, key, t)."""
+    """``(row, start, length, source)`` of the units that repeat an earlier one, and that one's key; of rows (row, key, t)."""
 
     def each(texts: list) -> tuple:
         found = [(k, s, n, d) for k, t in enumerate(texts) for s, n, d in units(t or "", min_words)]
@@ -52,20 +52,20 @@ def repeated_units(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     often = found.select("d").groupBy("d").agg(F.count("*").alias("n")).where("n > 1")
     found = checkpoint(join_counted(found, often, ["d"], "n").drop("n").withColumn("rank", F.struct("key", "start", "row")))
     first = found.groupBy("d", "e").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return join_counted(found, first, ["d", "e"], "n").where("rank > first").select("row", "start", "length")
+    return join_counted(found, first, ["d", "e"], "n").where("rank > first").select("row", "start", "length", F.col("first.key").alias("source"))
 
 
 def drop_repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, with_text: bool = False) -> DataFrame:
-    """``(key, n_chars, n_removed, n_spans, spans, kept_sha256)`` of every row, and the remaining text, ``kept``, if asked for.
+    """``(key, n_chars, n_removed, n_spans, spans, kept_sha256, repeats_of)`` of every row, and the remaining text, ``kept``, if asked for.
 
     n_removed: characters that go. spans: ``start-end`` of the maximal removed runs in the original
-    text, in code points, comma-joined, empty without one. Of equal units the one of the smallest (key,
+    text, in code points, comma-joined, empty without one. repeats_of: keys of the rows that keep what goes here, sorted. Of equal units the one of the smallest (key,
     start) stays; a NULL key ranks before all others. NULL counts as empty. Repeated rows are rows of their own.
     Other columns of docs are not read. Empty input, empty result. docs is read several times and must
     give its rows in the same order each time, as a table does.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    spans = repeated_units(rows, min_words).groupBy("row").agg(F.collect_list(F.struct("start", "length")).alias("x"))
+    spans = repeated_units(rows, min_words).groupBy("row").agg(F.collect_list(F.struct("start", "length")).alias("x"), F.array_sort(F.collect_set("source")).alias("sources"))
     spans = checkpoint(spans)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,11 +84,11 @@ def drop_repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     names = ["row", "n_removed", "n_spans", "spans", "sha", "left"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-    changed = where_marked(rows.select("row", "t"), spans).join(spans, "row").mapInArrow(cut, "row bigint, n_removed bigint, n_spans bigint, spans string, sha string, left string")
+    changed = where_marked(rows.select("row", "t"), spans).join(spans.select("row", "x"), "row").mapInArrow(cut, "row bigint, n_removed bigint, n_spans bigint, spans string, sha string, left string")
     whole = rows.select("row", "key", F.length("t").cast("bigint").alias("n_chars"), F.sha2("t", 256).alias("whole"), *["t"] * with_text)
-    joined = whole.join(changed, "row", "left")
+    joined = whole.join(changed, "row", "left").join(spans.select("row", "sources"), "row", "left")
     kept = [F.coalesce("left", "t").alias("kept")] if with_text else []
-    return joined.select(F.col("key").alias(key), "n_chars", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("sha", "whole").alias("kept_sha256"), *kept)
+    return joined.select(F.col("key").alias(key), "n_chars", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("sha", "whole").alias("kept_sha256"), F.coalesce("sources", F.array().cast(f"array<{docs.schema[key].dataType.simpleString()}>")).alias("repeats_of"), *kept)
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
