@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.operators.checkpoints import checkpoint
+
 
 def majority(votes: DataFrame, key: str, value: str) -> DataFrame:
     """``(key, value)``: the value with most votes; of equal ones the smallest. NULL values don't vote."""
@@ -46,17 +46,26 @@ def best_match(candidates: DataFrame, key: str, value: str, score: list[Column])
     return top.groupBy(key).agg(F.when(F.count("*") == 1, F.min(value)).alias(value), (F.count("*") > 1).alias("ambiguous"))
 
 
+def dense_ids(rows: DataFrame, order: list[Column], to: str) -> DataFrame:
+    """rows with numbers from 0 in a total order, without gaps.
+
+    Rows are sorted over all tasks and numbered where they are; only how many each task has comes together.
+    """
+    placed = checkpoint(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    task, earlier = F.expr("_at div 8589934592"), Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))  # a row for each task
+    before = counts.select("_task", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_from"))
+    numbered = placed.withColumn("_task", task).join(F.broadcast(before), "_task")
+    return numbered.withColumn(to, F.col("_from") + F.col("_at") % 8589934592).select(*rows.columns, to)
+
+
 def scaled_rank(rows: DataFrame, value: str, to: str, digits: int = 3) -> DataFrame:
     """rows with ``to``: a value's position among the distinct values over their number, rounded.
 
-    Distinct values are few next to rows, so they are numbered alone and joined back: rows never
-    meet in one task.
+    Distinct values are numbered alone and joined back, so rows never meet in one task.
     """
-    values = rows.select(value).where(F.col(value).isNotNull()).distinct()
-    ordered = values.orderBy(value).select(value, F.monotonically_increasing_id().alias("_at"))
-    counted = ordered.withColumn("_part", F.expr("_at div 8589934592"))
-    before = counted.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_from", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
-    place = counted.join(F.broadcast(before), "_part").select(value, F.bround((F.col("_from") + F.col("_at") % 8589934592 + 1) / F.col("_all"), digits).alias(to))
+    values = checkpoint(rows.select(value).where(F.col(value).isNotNull()).distinct())
+    place = dense_ids(values, [F.col(value)], "_k").select(value, F.bround((F.col("_k") + 1) / F.lit(max(1, values.count())), digits).alias(to))
     return rows.join(place, value, "left")
 
 
@@ -74,12 +83,3 @@ def page(rows: DataFrame, order: list[Column], size: int, number: int = 0) -> Da
 def stable_sample(rows: DataFrame, key: str, seed: str, n: int) -> DataFrame:
     """n rows with the least md5 of ``seed:key``: growing the table replaces few of them."""
     return rows.orderBy(F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string"))), key).limit(n)
-
-
-def dense_ids(rows: DataFrame, order: list[Column], to: str) -> DataFrame:
-    """rows with numbers from 0 in a total order; meant for tables of entities such as departments."""
-    return rows.withColumn(to, F.row_number().over(Window.orderBy(*order)) - 1)
-
-
-def any_of(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
