@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text
 from quillgraph.functions.names import name_similarity
-from quillgraph.operators import blocking, edges, folds
+from quillgraph.operators import blocking, edges, folds, votes
 from quillgraph.plans.registry import graph_query, query
 
 
@@ -57,9 +57,7 @@ def p29_heavy_edges_between_visible(t):
 
 @graph_query("SELECT row_number() OVER (ORDER BY per) - 1 AS key, name FROM persons")
 def p30_public_keys(t):
-    from quillgraph.operators.votes import dense_ids
-
-    return dense_ids(t["persons"], [F.col("per")], "key").select("key", "name")
+    return votes.dense_ids(t["persons"], [F.col("per")], "key").select("key", "name")
 
 
 @graph_query("SELECT pid, per, CASE WHEN corresponding AND internal THEN 'confirmed' WHEN internal THEN 'possible' ELSE 'not_confirmed' END AS evidence FROM authorship JOIN persons USING (per)")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillgraph.operators import edges, folds, votes
+from quillgraph.functions.text import jaccard
+from quillgraph.operators import edges, folds, health, votes
 from quillgraph.plans.registry import graph_query as query
 
 HYPER = 5
@@ -184,9 +185,7 @@ def a19_top_departments(t):
 
 @query("SELECT coalesce(sum(c - 1), 0)::BIGINT AS extra FROM (SELECT count(*) AS c FROM publications GROUP BY venue, date HAVING count(*) > 1)")
 def a20_excess_duplicates(t):
-    from quillgraph.operators.health import excess
-
-    return excess(t["publications"], F.col("venue"), F.col("date")).agg(F.coalesce(F.sum("excess"), F.lit(0)).alias("extra"))
+    return health.excess(t["publications"], F.col("venue"), F.col("date")).agg(F.coalesce(F.sum("excess"), F.lit(0)).alias("extra"))
 
 
 @query(""", g AS (SELECT venue AS grant_id, title AS funder, count(*) AS c FROM publications GROUP BY 1, 2)
@@ -299,8 +298,6 @@ _ARRAYS = """, s AS (SELECT per, list_sort(list(DISTINCT did)) AS d FROM (SELECT
 
 @query(_ARRAYS + "SELECT a.per AS a, b.per AS b, round(len(list_intersect(a.d, b.d)) / len(list_distinct(a.d || b.d)), 6) AS likeness FROM s a JOIN persons x ON x.per = a.per JOIN persons y ON y.did = x.did AND y.per > x.per JOIN s b ON b.per = y.per")
 def u06_jaccard(t):
-    from quillgraph.functions.text import jaccard
-
     s = t["authorship"].join(t["pub_depts"], "pid").groupBy("per").agg(F.collect_set("did").alias("d"))
     pairs = edges.member_pairs(t["persons"].join(s, "per"), "did", "per", 10_000, ["d"])
     return pairs.select("a", "b", F.round(jaccard(F.col("a_d"), F.col("b_d")), 6).alias("likeness"))

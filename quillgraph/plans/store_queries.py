@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillgraph.operators import groups, health, history, votes
+from quillgraph.operators import edges, groups, health, history, votes
 from quillgraph.plans.registry import graph_query, query
 
 
@@ -49,18 +50,14 @@ def k06_retention(t):
 
 @graph_query("SELECT pid, per FROM authorship WHERE pid % 4 = 0 OR per % 9 = 0")
 def k11_unmatched_edges(t):
-    from quillgraph.operators.edges import attach
-
     src, tgt = t["publications"].where("pid % 4 <> 0"), t["persons"].where("per % 9 <> 0")
-    return attach(t["authorship"].select("pid", "per"), src, tgt, "pid", "per")[1].select("pid", "per")
+    return edges.attach(t["authorship"].select("pid", "per"), src, tgt, "pid", "per")[1].select("pid", "per")
 
 
 @graph_query("SELECT per AS a, pid AS b FROM authorship WHERE per % 9 <> 0 AND pid % 9 <> 0")
 def k14_delete_nodes(t):
-    from quillgraph.operators.edges import without_nodes
-
     gone = t["publications"].where("pid % 9 = 0").select("pid").union(t["persons"].where("per % 9 = 0").select("per"))
-    return without_nodes(t["authorship"].select(F.col("per").alias("a"), F.col("pid").alias("b")), gone, "pid")
+    return edges.without_nodes(t["authorship"].select(F.col("per").alias("a"), F.col("pid").alias("b")), gone, "pid")
 
 
 @graph_query("SELECT 'publications' AS name, 0 AS repeated UNION ALL SELECT 'venue_date', (SELECT count(*)::INTEGER FROM (SELECT 1 FROM publications GROUP BY venue, date HAVING count(*) > 1))")
@@ -130,8 +127,6 @@ def a51_conflicts(t):
 n AS (SELECT venue, v, title AS t0, lead(title) OVER w AS t1, type AS y0, lead(type) OVER w AS y1, lead(v) OVER w AS nx FROM o WINDOW w AS (PARTITION BY venue ORDER BY v))
 SELECT venue, v, 'title' AS field, t0 AS old, t1 AS new FROM n WHERE nx IS NOT NULL AND t0 IS DISTINCT FROM t1 UNION ALL SELECT venue, v, 'type', y0, y1 FROM n WHERE nx IS NOT NULL AND y0 IS DISTINCT FROM y1""")
 def a52_version_diffs(t):
-    from pyspark.sql import Window
-
     v = F.row_number().over(Window.partitionBy("venue").orderBy("date", "pid"))
     return history.version_diffs(t["publications"].withColumn("v", v), "venue", "v", ["title", "type"])
 
