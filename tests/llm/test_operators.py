@@ -100,8 +100,6 @@ def test_fold_of_equal_bands_uses_the_whole_fingerprint():
 
 def test_unit_dedup(docs, empty):
     ranked = sorted(range(len(ROWS)), key=lambda i: (ROWS[i][0] is not None, ROWS[i][0] or 0))
-    if any(a[:2] == b[:2] for i, a in enumerate(ROWS) for b in ROWS[:i]):
-        pass  # repeated rows: the first of them in the table ranks first
     seen, expected = set(), []
     for i in ranked:
         t, gone = ROWS[i][1] or "", set()
@@ -181,9 +179,7 @@ def test_minimum_bin_slack_fills_bins():
 def test_license_scan(stored, empty):
     notice = "Licensed under the Apache License, Version 2.0."
     rows = [(1, "x\n" + notice + "\ny", 0), (2, "CC-BY cc by CC BY", 1), (3, None, 2), (4, "", 3), (5, "all rights\nreserved general public license", 4), (5, "Released under MIT License", 5), (None, "ALL RIGHTS RESERVED", 6), (7, "licensed\nunder\nthe\napache\nlicense\nversion\n2\n0", 7), (8, "é all rights reserved " * 9, 8)]
-    out = {r.n_words: r for r in license_scan.scan(stored(rows, "doc_id long, text string, known long")).collect()}
-    assert sorted(out) == [0, 3, 4, 6, 8, 10, 36] or len(out) >= 6
-    by = {(r.doc_id, r.n_words): r for r in license_scan.scan(stored(rows, "doc_id long, text string, row long", "again")).collect()}
+    by = {(r.doc_id, r.n_words): r for r in license_scan.scan(stored(rows, "doc_id long, text string, row long")).collect()}
     assert by[(1, 10)].labels == "apache-2.0" and by[(1, 10)].score == 1.0 and by[(1, 10)].first_word is None
     assert (by[(2, 6)].n_base, by[(2, 6)].first_word, by[(2, 6)].last_word, by[(2, 6)].labels) == (3, 0, 4, "cc-by")
     assert by[(3, 0)].labels == "" and by[(4, 0)].score == 0.0
