@@ -23,6 +23,8 @@ from quillgraph.operators.components import checkpoint
 
 CAPACITY = 1024
 END = 2
+#: Pieces of one length are ranked in parts of about RANKED, and all lengths in MOST_PARTS parts besides one each.
+RANKED, MOST_PARTS = 10_000, 100_000
 
 
 def fullest(room: int, counts: dict[int, int]) -> dict[int, int]:
@@ -65,24 +67,27 @@ def minimum_bin_slack(counts: dict[int, int], capacity: int = CAPACITY) -> list[
     return plan
 
 
-def pack(pieces: DataFrame, order: list[str], length: str = "length", capacity: int = CAPACITY, salts: int = 32) -> DataFrame:
+def pack(pieces: DataFrame, order: list[str], length: str = "length", capacity: int = CAPACITY) -> DataFrame:
     """pieces with ``sequence_id`` and ``offset``, gapless from 0 in each sequence.
 
     Lengths run from 1 to capacity. order: columns that rank pieces of one length; equal rows get
-    ranks in any order. salts: parts of each length, so that a length that many pieces share is ranked by
-    several tasks. An empty input gives an empty result. pieces is read three times: cut its lineage first.
+    ranks in any order. A length that many pieces share is ranked in parts, so that no part has more than
+    RANKED pieces or one in MOST_PARTS of all. An empty input gives an empty result. pieces is read several times: cut its lineage first.
     """
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    sizes = pieces.groupBy(length).agg(F.count("*").alias("_n"))
+    counts = {r[0]: r[1] for r in sizes.collect()}
+    if any(not 1 <= k <= capacity for k in counts):
+        raise ValueError(f"lengths must be from 1 to {capacity}")
+    each = max(RANKED, sum(counts.values()) // MOST_PARTS + 1)
+    salts = sizes.select(length, F.ceil(F.col("_n") / each).alias("_salts"))  # capacity rows at most
+    salted = pieces.join(F.broadcast(salts), length).withColumn("_salt", F.pmod(F.xxhash64(*order), F.col("_salts")).cast("int")).drop("_salts")
     parts = salted.groupBy(length, "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(length).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(length, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
     rank = F.row_number().over(Window.partitionBy(length, "_salt").orderBy(*order)) - 1
-    # at most capacity x salts rows
+    # at most capacity + MOST_PARTS rows
     ranked = salted.withColumn("_rank", rank).join(F.broadcast(parts), [length, "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_from"))
 
-    counts = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}
-    if any(not 1 <= k <= capacity for k in counts):
-        raise ValueError(f"lengths must be from 1 to {capacity}")
     taken, rows, first = dict.fromkeys(counts, 0), [], 0
     for times, bin_ in minimum_bin_slack(counts, capacity):
         at = 0
