@@ -28,6 +28,8 @@ _FULL = (1 << 64) - 1
 #: (mask, tolerance) of each band; the tolerances and one for each band sum to more than DISTANCE.
 BANDS = (((1 << 22) - 1, 1), (((1 << 21) - 1) << 22, 1), (((1 << 21) - 1) << 43, 0))
 SEED = 42
+#: How many fingerprints grow the trees, at least and at most.
+SAMPLE = (32_768, 1 << 20)
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -165,22 +167,22 @@ def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": rep[moved], "b": rep[label[moved]]})
 
 
-def near_links(unique: DataFrame, leaf: int = 2048, sample: int = 32768) -> DataFrame:
+def near_links(unique: DataFrame, leaf: int = 2048) -> DataFrame:
     """Edges ``(a, b)`` that span the links of at most DISTANCE bits among unique ``(fp, rep)`` rows.
 
-    leaf: fingerprints of a shard to aim at. sample: about how many fingerprints, picked by their
-    hash, the driver sees to grow the trees; they place boundaries only and decide no link.
+    leaf: fingerprints of a shard to aim at. The driver sees a sample of them, picked by their hash,
+    to grow the trees: 16 for each shard, within SAMPLE. They place boundaries only and decide no link.
     """
     n = unique.count()
-    share = min(1.0, sample / max(n, 1))
-    picked = unique.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("fp")
-    seen = np.array([r[0] for r in picked.collect()], np.int64).view(np.uint64)
-    trees = [Tree(seen, mask, t, max(8, int(leaf * share))) for mask, t in BANDS]
+    share = min(1.0, min(max(16 * n // leaf, SAMPLE[0]), SAMPLE[1]) / max(n, 1))
+    picked = unique.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("fp").toPandas()
+    seen = picked["fp"].to_numpy(np.int64).view(np.uint64)
+    trees = unique.sparkSession.sparkContext.broadcast([Tree(seen, mask, t, max(8, int(leaf * share))) for mask, t in BANDS])
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = b["fp"].to_numpy().view(np.uint64)
-            for band, tree in enumerate(trees):
+            for band, tree in enumerate(trees.value):
                 rows, at, home = tree.route(x)
                 yield pd.DataFrame({"band": np.full(len(rows), band, np.int32), "leaf": at.astype(np.int32), "fp": b["fp"].to_numpy()[rows], "rep": b["rep"].to_numpy()[rows], "home": home.astype(bool)})
 
