@@ -29,7 +29,7 @@ SPAN = WINDOW - GRAM + 1
 #: Starts that are compared together; their windows share WINDOW - STEP + 1 bytes.
 STEP = 26
 #: Strings with one common core that a task sorts; cores of more are counted window by window.
-MOST_STRINGS = 50_000
+MOST_STRINGS = 5_000
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
