@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import map_texts, table
+from quillgraph.llm.common import map_texts, table, where_marked
 from quillgraph.operators.components import checkpoint, connected_components
 from quillgraph.operators.skew import join_counted
 
@@ -127,46 +127,76 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 #: Bands of so many minima: of texts at 0.8 similarity, 1 in 20,000 pairs shares none.
 BANDS, BAND = 25, 5
 SIMILARITY = 0.8
+#: Members of a bucket that meet the whole bucket in one group.
+PART = 500
+
+
+def _name(shingle_set: np.ndarray) -> bytes:
+    return hashlib.sha256(shingle_set.tobytes()).digest()[:16]
+
+
+def _apart(placed: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a bucket that are in two classes, were not compared with its lead and whose sizes allow the similarity.
+
+    A bucket's members are dealt out in parts of PART, each of which meets the whole bucket.
+    """
+    member = placed.join(classes, placed["rep"] == classes["node"], "left").select("h", "lead", "rep", "size", F.coalesce("component", "rep").alias("class"))
+    mixed = member.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("m")).where("low < high")
+    member = checkpoint(join_counted(member, mixed.select("h", "m", F.col("m").alias("rows")), ["h"], "rows").where("lead < rep"))
+    parts = F.ceil(F.col("m") / PART).cast("int")
+    a = member.select("h", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), F.col("rep").alias("a"), F.col("size").alias("sa"), F.col("class").alias("ca"))
+    b = member.select("h", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("rep").alias("b"), F.col("size").alias("sb"), F.col("class").alias("cb"))
+    fits = F.least("sa", "sb") >= similarity * F.greatest("sa", "sb")
+    return a.join(b, ["h", "part"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """``(key, class_id)``: the smallest key that links reach; texts of that Jaccard similarity of shingles or more link.
 
     Texts with equal shingle sets are one representative. Representatives that share a signature band are
-    candidates: each against its bucket's smallest first, and only those that this leaves apart
-    against the others, so a large group of near copies is never paired up in full and still loses no link. A
+    candidates: each against its bucket's smallest first, and then each two of a bucket that no link has joined
+    yet, so a large group of near copies is never paired up in full and still loses no link. A
     link counts if the sets of 32-bit shingle hashes have that similarity. NULL counts as empty; texts without a
     word are one class. Rows with a NULL key take their representative's class (NULL if it has no key). Empty input, empty result.
+    docs is read several times.
     """
 
     def describe(texts: list) -> tuple:
-        sets = [np.unique(shingles(t or "", words)).astype(np.int64) for t in texts]
-        names = [hashlib.sha256(x.tobytes()).digest()[:16] for x in sets]
+        sets = [np.unique(shingles(t or "", words)) for t in texts]
         bands = []
         for t in texts:
             least = signature(t, words)
             parts = (hashlib.blake2b(least[k * BAND : (k + 1) * BAND].tobytes(), digest_size=8, person=bytes([k])).digest() for k in range(BANDS))
             bands.append(np.frombuffer(b"".join(parts), np.int64))
-        return None, [names, bands, sets]
+        return None, [[_name(x) for x in sets], [len(x) for x in sets], bands]
+
+    def contents(texts: list) -> tuple:
+        sets = [np.unique(shingles(t or "", words)) for t in texts]
+        return None, [[_name(x) for x in sets], [x.astype(np.int64) for x in sets]]
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
-    found = checkpoint(map_texts(rows, "t", "name binary, bands array<bigint>, x array<bigint>", describe))
-    reps = checkpoint(found.groupBy("name").agg(F.min("key").alias("rep"), F.count("*").alias("n")))
-    one = found.join(reps.where("rep IS NOT NULL").select("name", "rep"), "name").where("key = rep").dropDuplicates(["name"]).select("rep", "bands", "x")
-    one = checkpoint(one)
-    placed = one.select("rep", F.explode("bands").alias("h"))
+    found = checkpoint(map_texts(rows, "t", "name binary, size int, bands array<bigint>", describe))
+    # partially aggregated, so that the copies of one text need not meet
+    reps = checkpoint(found.groupBy("name").agg(F.min("key").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count("*").alias("n")))
+    one = reps.where("rep IS NOT NULL")
+    placed = one.select("rep", "size", F.explode("bands").alias("h"))
     buckets = placed.groupBy("h").agg(F.min("rep").alias("lead"), F.count("*").alias("c")).where("c > 1")
-    placed = checkpoint(join_counted(placed, buckets, ["h"], "c"))
+    placed = checkpoint(join_counted(placed, buckets.select("h", "lead", "c", F.col("c").alias("rows")), ["h"], "rows").where("c > 1"))
+    named = placed.select("rep").distinct().join(one.select("rep", "name"), "rep")
+    wanted = checkpoint(where_marked(rows.withColumn("row", F.col("key")), named.select(F.col("rep").alias("row"))))
+    sets = map_texts(wanted.select("key", "t"), "t", "name binary, x array<bigint>", contents)
+    sets = checkpoint(sets.join(named, (sets["key"] == named["rep"]) & (sets["name"] == named["name"])).select("rep", sets["name"], "x").dropDuplicates(["rep", "name"]).select("rep", "x"))
 
     def alike(pairs: DataFrame) -> DataFrame:
-        sides = pairs.join(one.select(F.col("rep").alias("a"), F.col("x").alias("xa")), "a").join(one.select(F.col("rep").alias("b"), F.col("x").alias("xb")), "b")
+        pairs = checkpoint(pairs.distinct())
+        often = pairs.groupBy("a").agg(F.count("*").alias("n"))
+        left = join_counted(pairs, often.join(sets.select(F.col("rep").alias("a"), F.col("x").alias("xa")), "a"), ["a"], "n").drop("n")
+        sides = left.join(sets.select(F.col("rep").alias("b"), F.col("x").alias("xb")), "b")
         shared = F.size(F.array_intersect("xa", "xb"))
-        return checkpoint(sides.where(shared >= similarity * (F.size("xa") + F.size("xb") - shared)).select("a", "b"))
+        return checkpoint(sides.where(shared >= similarity * (F.size("xa") + F.size("xb") - shared)).select("a", "b").distinct())
 
-    led = alike(placed.where("lead < rep").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
-    apart = placed.where("lead < rep").join(led, (F.col("lead") == F.col("a")) & (F.col("rep") == F.col("b")), "left_anti").select("h", F.col("rep").alias("one"))
-    rest = apart.join(placed.where("lead < rep").select("h", F.col("rep").alias("other")), "h").where("one <> other")
-    more = alike(rest.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct())
+    led = alike(placed.where("lead < rep").select(F.col("lead").alias("a"), F.col("rep").alias("b")))
+    more = alike(_apart(placed, connected_components(led, "a", "b"), similarity))
     classes = connected_components(led.union(more), "a", "b")
     named = reps.join(classes, reps["rep"] == classes["node"], "left").select("name", F.coalesce("component", "rep").alias("class_id"), "n")
     return join_counted(found.select("key", "name"), named, ["name"], "n").select(F.col("key").alias(key), "class_id")

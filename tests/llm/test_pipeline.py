@@ -1,5 +1,6 @@
 """The pipeline's stages on small tables, each against brute force on its own input."""
 
+import random
 import re
 
 import public_tokenizers
@@ -78,3 +79,21 @@ def test_empty_corpus(spark, stored):
         docs = stage(spark, docs, "")
         assert docs.count() == 0
         docs = stored([], SCHEMA, f"e{k}")
+
+
+def test_near_stage_finds_every_near_copy_and_no_other(spark, stored):
+    rng = random.Random(3)
+    texts = []
+    for changed in (1, 2, 3, 4, 5, 6, 8) * 4:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        copy = list(base)
+        for at in rng.sample(range(200), changed):
+            copy[at] = "changed"
+        texts += [" ".join(base), " ".join(copy)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for t in texts]
+    label = list(range(len(texts)))
+    for _ in label:
+        label = [min(label[j] for j, y in enumerate(sets) if len(x & y) >= 0.8 * len(x | y)) for x in sets]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    out = {r.doc_id for r in pipeline.near_dedup(spark, stored(rows, SCHEMA), "").collect()}
+    assert out == set(label) and len(texts) // 2 < len(out) < len(texts)
