@@ -142,7 +142,7 @@ def _apart(placed: DataFrame, classes: DataFrame, similarity: float) -> DataFram
     """
     member = placed.join(classes, placed["rep"] == classes["node"], "left").select("h", "lead", "rep", "size", F.coalesce("component", "rep").alias("class"))
     mixed = member.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("m")).where("low < high")
-    member = checkpoint(join_counted(member, mixed.select("h", "m", F.col("m").alias("rows")), ["h"], "rows").where("lead < rep"))
+    member = checkpoint(join_counted(member, mixed.select("h", "m", F.col("m").alias("rows")), ["h"], "rows").where("lead <> rep"))
     parts = F.ceil(F.col("m") / PART).cast("int")
     a = member.select("h", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), F.col("rep").alias("a"), F.col("size").alias("sa"), F.col("class").alias("ca"))
     b = member.select("h", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("rep").alias("b"), F.col("size").alias("sb"), F.col("class").alias("cb"))
@@ -154,8 +154,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """``(key, class_id)``: the smallest key that links reach; texts of that Jaccard similarity of shingles or more link.
 
     Texts with equal shingle sets are one representative. Representatives that share a signature band are
-    candidates: each against its bucket's smallest first, and then each two of a bucket that no link has joined
-    yet, so a large group of near copies is never paired up in full and still loses no link. A
+    candidates: each against its bucket's lead first, which a hash picks for each bucket, and then each two of a
+    bucket that no chain of links has joined yet, so a large group of near copies is never paired up in full and still loses no link. A
     link counts if the sets of 32-bit shingle hashes have that similarity. NULL counts as empty; texts without a
     word are one class. Rows with a NULL key take their representative's class (NULL if it has no key). Empty input, empty result.
     docs is read several times.
@@ -180,8 +180,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     reps = checkpoint(found.groupBy("name").agg(F.min("key").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count("*").alias("n")))
     one = reps.where("rep IS NOT NULL")
     placed = one.select("rep", "size", F.explode("bands").alias("h"))
-    buckets = placed.groupBy("h").agg(F.min("rep").alias("lead"), F.count("*").alias("c")).where("c > 1")
-    placed = checkpoint(join_counted(placed, buckets.select("h", "lead", "c", F.col("c").alias("rows")), ["h"], "rows").where("c > 1"))
+    lead = F.min_by(F.struct(F.col("rep").alias("lead"), F.col("size").alias("lead_size")), F.struct(F.xxhash64("rep", "h"), "rep"))
+    buckets = placed.groupBy("h").agg(lead.alias("v"), F.count("*").alias("c")).where("c > 1").select("h", "v.*", "c")
+    placed = checkpoint(join_counted(placed, buckets, ["h"], "c"))
     named = placed.select("rep").distinct().join(one.select("rep", "name"), "rep")
     wanted = checkpoint(where_marked(rows.withColumn("row", F.col("key")), named.select(F.col("rep").alias("row"))))
     sets = map_texts(wanted.select("key", "t"), "t", "name binary, x array<bigint>", contents)
@@ -195,7 +196,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         shared = F.size(F.array_intersect("xa", "xb"))
         return checkpoint(sides.where(shared >= similarity * (F.size("xa") + F.size("xb") - shared)).select("a", "b").distinct())
 
-    led = alike(placed.where("lead < rep").select(F.col("lead").alias("a"), F.col("rep").alias("b")))
+    fits = F.least("size", "lead_size") >= similarity * F.greatest("size", "lead_size")
+    led = alike(placed.where((F.col("lead") != F.col("rep")) & fits).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")))
     more = alike(_apart(placed, connected_components(led, "a", "b"), similarity))
     classes = connected_components(led.union(more), "a", "b")
     named = reps.join(classes, reps["rep"] == classes["node"], "left").select("name", F.coalesce("component", "rep").alias("class_id"), "n")
