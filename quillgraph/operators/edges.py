@@ -6,18 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def member_pairs(members: DataFrame, group: str, member: str, cap: int, carry: list[str] | None = None) -> DataFrame:
+#: Members of an uncapped group that meet the whole group in one part.
+PART = 1000
+
+
+def member_pairs(members: DataFrame, group: str, member: str, cap: int | None, carry: list[str] | None = None) -> DataFrame:
     """``(group, a, b, k)`` for each two members a < b of a group of k; groups of more than cap members are left out.
 
     Members are distinct in a group. The cap bounds what a group adds; it is part of the operator:
-    beyond it, sharing a group says little. ``carry``: columns of a member, as ``a_<name>`` and ``b_<name>``.
+    beyond it, sharing a group says little. Without a cap (None) no group is left out, and the members of a
+    large one are dealt out in parts of PART, each of which meets the whole group. ``carry``: columns of a member, as ``a_<name>`` and ``b_<name>``.
     """
     carry = carry or []
     m = members.select(group, member, *carry).dropna(subset=[group, member]).dropDuplicates([group, member])
-    sized = m.groupBy(group).agg(F.count("*").alias("k")).where((F.col("k") > 1) & (F.col("k") <= cap))
+    sized = m.groupBy(group).agg(F.count("*").alias("k")).where((F.col("k") > 1) & (F.col("k") <= cap if cap is not None else F.lit(True)))
     a = m.select(group, F.col(member).alias("a"), *[F.col(c).alias(f"a_{c}") for c in carry])
     b = m.select(group, F.col(member).alias("b"), *[F.col(c).alias(f"b_{c}") for c in carry])
-    return a.join(sized, group).join(b, group).where("a < b")
+    if cap is not None:
+        return a.join(sized, group).join(b, group).where("a < b")
+    parts = F.ceil(F.col("k") / PART).cast("int")
+    a = a.join(sized, group).withColumn("_part", F.pmod(F.xxhash64("a"), parts).cast("int"))
+    b = b.join(sized, group).withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("k")
+    return a.join(b, [group, "_part"]).where("a < b").drop("_part")
 
 
 def pair_weights(members: DataFrame, group: str, member: str, cap: int) -> DataFrame:

@@ -81,7 +81,7 @@ SELECT CASE WHEN ta = 'F' AND tb <> 'F' THEN b ELSE a END AS version, CASE WHEN
 CASE WHEN gap <= 30 THEN 'SAME' WHEN ta <> tb THEN 'CONFERENCE_JOURNAL' WHEN gap <= 365 THEN 'RELATED' ELSE 'DIFFERENT' END AS bucket FROM x""")
 def c13_version_edges(t):
     p = t["publications"].withColumn("day", F.unix_date("date"))
-    pairs = blocking.channel_pairs(p, "pid", {"title": (F.concat_ws("|", "venue", "title"), 45)})
+    pairs = blocking.channel_pairs(p, "pid", {"title": (F.concat_ws("|", "venue", "title"), None)})
     x = blocking.with_sides(pairs, p, "pid", ["type", "day"])
     gap = F.abs(F.col("a_day") - F.col("b_day"))
     bucket = blocking.first_rule([("SAME", gap <= 30), ("CONFERENCE_JOURNAL", F.col("a_type") != F.col("b_type")), ("RELATED", gap <= 365)], "DIFFERENT")

@@ -71,7 +71,7 @@ SELECT a.per AS a, b.per AS b FROM k a JOIN k b ON a.did = b.did AND a.per < b.p
 def j14_surname_and_channel(t):
     last = F.right("name", F.lit(1))
     k = t["persons"].select("per", F.concat_ws("|", "did", last).alias("channel"), "did", (last == "0").alias("blank"))
-    same = edges.member_pairs(k, "channel", "per", 10_000).select("a", "b")
+    same = edges.member_pairs(k, "channel", "per", None).select("a", "b")
     # a blank name fits any channel of its block; blanks meet the block, not the block itself
     open_ = k.where("blank").select(F.col("per").alias("x"), "did").join(k.select(F.col("per").alias("y"), "did"), "did").where("x <> y")
     return same.union(open_.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()

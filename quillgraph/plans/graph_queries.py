@@ -299,7 +299,7 @@ _ARRAYS = """, s AS (SELECT per, list_sort(list(DISTINCT did)) AS d FROM (SELECT
 @query(_ARRAYS + "SELECT a.per AS a, b.per AS b, round(len(list_intersect(a.d, b.d)) / len(list_distinct(a.d || b.d)), 6) AS likeness FROM s a JOIN persons x ON x.per = a.per JOIN persons y ON y.did = x.did AND y.per > x.per JOIN s b ON b.per = y.per")
 def u06_jaccard(t):
     s = t["authorship"].join(t["pub_depts"], "pid").groupBy("per").agg(F.collect_set("did").alias("d"))
-    pairs = edges.member_pairs(t["persons"].join(s, "per"), "did", "per", 10_000, ["d"])
+    pairs = edges.member_pairs(t["persons"].join(s, "per"), "did", "per", None, ["d"])
     return pairs.select("a", "b", F.round(jaccard(F.col("a_d"), F.col("b_d")), 6).alias("likeness"))
 
 

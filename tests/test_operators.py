@@ -149,3 +149,18 @@ def test_late_and_contradicting_values(spark, tmp_path):
     spark.createDataFrame(rows, "u long, s long, v double").select("u", F.timestamp_seconds("s").alias("ts"), "v").coalesce(1).write.parquet(str(tmp_path / "log.parquet"))
     out = events.drain(events.latest_values(events.read_log(spark, str(tmp_path / "log.parquet")), "u", "ts", "v"), "update")
     assert sorted((r.u, r.value, r.disputed) for r in out.collect()) == [(1, 1.0, False), (2, None, True), (3, 7.0, False)]
+
+
+def test_groups_without_a_cap_make_every_pair(spark):
+    n = edges.PART + 20
+    m = spark.createDataFrame([("big", k) for k in range(n)] + [("ok", 1), ("ok", 2), ("one", 7)], "g string, m long")
+    found = edges.member_pairs(m, "g", "m", None)
+    assert {r.g: (r["count"], r.k) for r in found.groupBy("g", "k").count().collect()} == {"big": (n * (n - 1) // 2, n), "ok": (1, 2)}
+    assert found.columns == ["g", "a", "k", "b"] and found.distinct().count() == n * (n - 1) // 2 + 1
+
+
+def test_c13_pairs_every_version_of_a_common_title(spark):
+    from quillgraph.plans.composites import c13_version_edges
+
+    p = spark.range(50).select(F.col("id").alias("pid"), F.lit("v").alias("venue"), F.lit("t").alias("title"), F.lit("F").alias("type"), F.current_date().alias("date"))
+    assert c13_version_edges({"publications": p}).count() == 50 * 49 // 2
