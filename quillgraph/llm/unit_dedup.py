@@ -20,13 +20,14 @@ from quillgraph.llm.common import intervals, map_texts, table, where_marked
 from quillgraph.operators.components import checkpoint
 from quillgraph.operators.skew import join_counted
 
-MIN_WORDS = 8
+#: A sentence within a line has so many characters or more once normalised, words or not; a line may have any number.
+MIN_CHARS = 16
 _LINE = re.compile(r"[^\n]+")
-_SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
+_SENTENCE = re.compile(r"[^.!?。！？]*[.!?。！？]+|[^.!?。！？]+")
 
 
-def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """(start, length, digest) of each line and of each sentence of a line of several, with min_words words or more.
+def units(text: str, min_chars: int = MIN_CHARS) -> Iterator[tuple[int, int, bytes]]:
+    """(start, length, digest) of each line that is not blank, and of each sentence of min_chars characters or more of a line of several.
 
     Offsets are code points. Normalised: lowered, white space at the ends dropped and within made one space.
     """
@@ -34,16 +35,16 @@ def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, byt
         spans = [line.span()]
         inner = [m.span() for m in _SENTENCE.finditer(text, *line.span())]
         for s, e in spans + (inner if len(inner) > 1 else []):
-            words = text[s:e].lower().split()
-            if len(words) >= min_words:
-                yield s, e - s, hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            plain = " ".join(text[s:e].lower().split())
+            if plain and ((s, e) == line.span() or len(plain) >= min_chars):
+                yield s, e - s, hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def repeated_units(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_units(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(row, start, length, source)`` of the units that repeat an earlier one, and that one's key; of rows (row, key, t)."""
 
     def each(texts: list) -> tuple:
-        found = [(k, s, n, d) for k, t in enumerate(texts) for s, n, d in units(t or "", min_words)]
+        found = [(k, s, n, d) for k, t in enumerate(texts) for s, n, d in units(t or "", min_chars)]
         digests = np.frombuffer(b"".join(x[3] for x in found), np.int64).reshape(-1, 2)
         return [x[0] for x in found], [[x[1] for x in found], [x[2] for x in found], digests[:, 0], digests[:, 1]]
 
@@ -55,7 +56,7 @@ def repeated_units(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return join_counted(found, first, ["d", "e"], "n").where("rank > first").select("row", "start", "length", F.col("first.key").alias("source"))
 
 
-def drop_repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, with_text: bool = False) -> DataFrame:
+def drop_repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, with_text: bool = False) -> DataFrame:
     """``(key, n_chars, n_removed, n_spans, spans, kept_sha256, repeats_of)`` of every row, and the remaining text, ``kept``, if asked for.
 
     n_removed: characters that go. spans: ``start-end`` of the maximal removed runs in the original
@@ -65,7 +66,7 @@ def drop_repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text"
     give its rows in the same order each time, as a table does.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    spans = repeated_units(rows, min_words).groupBy("row").agg(F.collect_list(F.struct("start", "length")).alias("x"), F.array_sort(F.collect_set("source")).alias("sources"))
+    spans = repeated_units(rows, min_chars).groupBy("row").agg(F.collect_list(F.struct("start", "length")).alias("x"), F.array_sort(F.collect_set("source")).alias("sources"))
     spans = checkpoint(spans)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

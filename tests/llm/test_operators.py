@@ -346,3 +346,11 @@ def test_language_id_learns_only_from_what_it_may(spark, stored):
 def test_language_id_without_labels(stored, empty):
     found = language_id.identify(stored([(1, "abc", None)], "doc_id long, text string, lang string")).collect()
     assert [(r.lang_pred, r.score) for r in found] == [("und", 0.0)] and language_id.identify(empty).count() == 0
+
+
+def test_unit_dedup_has_no_floor_for_lines_and_counts_characters_in_sentences(stored):
+    line, sentence = "and so it is", "日本語の文章は空白を含まないので長さを数える。"
+    rows = [(1, f"{line}\n\nx. {sentence}"), (2, f"AND  so it is\n\n{sentence}y。"), (3, f"Some words. Here we go again. {sentence}\n{line}"), (4, "Other words. Here we go again. ok."), (5, "no. no.")]
+    found = {r.doc_id: r.kept for r in unit_dedup.drop_repeated_units(stored(rows, "doc_id long, text string"), with_text=True).collect()}
+    assert found[1] == rows[0][1] and found[2] == "\n\ny。" and found[3] == "Some words. Here we go again.\n"
+    assert found[4] == "Other words. ok." and found[5] == "no. no."
