@@ -87,14 +87,16 @@ def split_conflicts(members: DataFrame, group: str, entity: str, identities: lis
     return members.select(group, entity, *identities).groupBy(group).applyInPandas(split, schema)
 
 
-def nearest_root(edges: DataFrame, roots: DataFrame, most: int = 16) -> DataFrame:
+def nearest_root(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """``(node, root, dist)`` of the strictly nearest root over undirected edges (a, b); ties stay without one.
 
-    A frontier grows by one step a round. A node remembers the smallest and largest root at its distance, which tells a tie.
+    A frontier grows by one step a round, until it is empty or ``most`` steps from the roots. A node remembers the smallest and largest root at its distance, which tells a tie.
     """
     steps = checkpoint(both_ways(edges.select("a", "b")))
     seen = checkpoint(roots.select(F.col("node"), F.col("node").alias("low"), F.col("node").alias("high"), F.lit(0).alias("dist")))
-    for d in range(1, most + 1):
+    d = 0
+    while most is None or d < most:
+        d += 1
         edge = seen.where(F.col("dist") == d - 1).join(steps, "node")
         new = edge.groupBy(F.col("other").alias("node")).agg(F.min("low").alias("low"), F.max("high").alias("high")).join(seen.select("node"), "node", "left_anti")
         new = checkpoint(new.withColumn("dist", F.lit(d)))

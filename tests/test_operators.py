@@ -164,3 +164,9 @@ def test_c13_pairs_every_version_of_a_common_title(spark):
 
     p = spark.range(50).select(F.col("id").alias("pid"), F.lit("v").alias("venue"), F.lit("t").alias("title"), F.lit("F").alias("type"), F.current_date().alias("date"))
     assert c13_version_edges({"publications": p}).count() == 50 * 49 // 2
+
+
+def test_nearest_root_walks_until_nothing_is_left(spark):
+    e = spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long")
+    found = {r.node: r.dist for r in groups.nearest_root(e, spark.createDataFrame([(0,)], "node long")).collect()}
+    assert found == {k: k for k in range(21)}
