@@ -36,6 +36,23 @@ def encoding(path: str, pattern: str = public_tokenizers.PATTERN) -> tiktoken.En
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.lru_cache(maxsize=4)
+def added_tokens(path: str) -> dict[str, int]:
+    """The strings that a JSON vocabulary takes whole, wherever they stand, and their ids; a rank file has none."""
+    if not path.endswith(".json"):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        return {x["content"]: x["id"] for x in json.load(f).get("added_tokens", [])}
+
+
+def encode_with_added(text: str | None, enc: tiktoken.Encoding, added: dict[str, int]) -> np.ndarray:
+    """The ids of a whole text, in which each string of added has its own id; what is between is encoded as by ``encode``."""
+    if not text or not any(a in text for a in added):
+        return encode(text, enc)
+    parts = regex.split("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")", text)
+    return np.concatenate([np.array([added[p]], np.uint32) if k % 2 else encode(p, enc) for k, p in enumerate(parts)])
+
+
 def encode(text: str | None, enc: tiktoken.Encoding, piece: int = 1 << 16) -> np.ndarray:
     """The ids of a whole text, special tokens' strings being ordinary text.
 

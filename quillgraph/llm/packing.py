@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.bpe import encode, encoding
+from quillgraph.llm.bpe import added_tokens, encode_with_added, encoding
 from quillgraph.llm.common import map_texts, table
 from quillgraph.operators.components import checkpoint
 
@@ -121,14 +121,14 @@ def token_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
     A document's ids are its text's, then ``end``. Only those of more than capacity ids are cut, so that
     all pieces but the first have capacity ids. NULL counts as the empty text, which has the end id
-    alone. path: the vocabulary as JSON or as a rank file; special tokens' strings are ordinary text.
+    alone. path: the vocabulary as JSON, whose added tokens' strings have their own ids, or as a rank file.
     """
 
     def each(texts: list) -> tuple:
-        enc = encoding(path)
+        enc, added = encoding(path), added_tokens(path)
         rows, piece, start, length, crc, cut = [], [], [], [], [], []
         for k, t in enumerate(texts):
-            ids = np.append(encode(t, enc), end).astype("<u4")
+            ids = np.append(encode_with_added(t, enc, added), end).astype("<u4")
             edges = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
             for n, (s, e) in enumerate(zip(edges, edges[1:], strict=False)):
                 rows.append(k), piece.append(n), start.append(s), length.append(e - s)

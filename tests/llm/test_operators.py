@@ -354,3 +354,13 @@ def test_unit_dedup_has_no_floor_for_lines_and_counts_characters_in_sentences(st
     found = {r.doc_id: r.kept for r in unit_dedup.drop_repeated_units(stored(rows, "doc_id long, text string"), with_text=True).collect()}
     assert found[1] == rows[0][1] and found[2] == "\n\ny。" and found[3] == "Some words. Here we go again.\n"
     assert found[4] == "Other words. ok." and found[5] == "no. no."
+
+
+def test_packing_gives_added_tokens_their_own_id(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|><|endoftext|> y <|endoftext", "plain"]
+    found = packing.token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, with_ids=True)
+    assert {r.doc_id: r.ids for r in found.collect()} == {k: [*own.encode(t, add_special_tokens=False).ids, 2] for k, t in enumerate(texts)}
