@@ -18,6 +18,9 @@ from quillgraph.llm.common import map_texts, table
 
 #: A match never runs from a character other than white space into a space, so a text may be cut there.
 _SAFE = regex.compile(r"(?<=\S) (?=\S)")
+#: White space as the pattern has it (Unicode's property); a run of over LONG_SPACE characters is matched here, as its backtracking has a limit.
+LONG_SPACE = 65_536
+_SPACES = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}+" % LONG_SPACE)
 
 
 @functools.lru_cache(maxsize=4)
@@ -53,22 +56,33 @@ def encode_with_added(text: str | None, enc: tiktoken.Encoding, added: dict[str,
     return np.concatenate([np.array([added[p]], np.uint32) if k % 2 else encode(p, enc) for k, p in enumerate(parts)])
 
 
+def _encode_in_pieces(text: str, enc: tiktoken.Encoding, piece: int) -> list[np.ndarray]:
+    parts, at = [], 0
+    while at < len(text):
+        cut = _SAFE.search(text, at + piece) if len(text) - at > piece else None
+        end = cut.start() if cut else len(text)
+        parts.append(enc.encode_to_numpy(text[at:end], disallowed_special=()))
+        at = end
+    return parts
+
+
 def encode(text: str | None, enc: tiktoken.Encoding, piece: int = 1 << 16) -> np.ndarray:
     """The ids of a whole text, special tokens' strings being ordinary text.
 
     Texts longer than ``piece`` characters are cut at the first safe boundary after each ``piece``;
-    a stretch without one stays whole. NULL and the empty text have no ids.
+    a stretch without one stays whole. Of a run of over LONG_SPACE white-space characters all but the last are one match (all, at
+    the end of the text), which is encoded by itself. NULL and the empty text have no ids.
     """
     text = text or ""
     if len(text) <= piece:
         return enc.encode_to_numpy(text, disallowed_special=())
     parts, at = [], 0
-    while at < len(text):
-        cut = _SAFE.search(text, at + piece) if len(text) - at > piece else None
-        end = cut.start() if cut else len(text)
-        parts.append(enc.encode_to_numpy(text[at:end], disallowed_special=()))
+    for run in _SPACES.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        parts += _encode_in_pieces(text[at : run.start()], enc, piece)
+        parts.append(np.array(enc._core_bpe.encode_single_piece(text[run.start() : end].encode()), np.uint32))
         at = end
-    return np.concatenate(parts)
+    return np.concatenate([np.empty(0, np.uint32), *parts, *_encode_in_pieces(text[at:], enc, piece)])
 
 
 def encode_texts(docs: DataFrame, path: str, text: str = "text", to: str = "ids") -> DataFrame:
