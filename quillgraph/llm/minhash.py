@@ -8,12 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import map_texts, table, where_marked
 from quillgraph.operators.components import checkpoint, connected_components
-from quillgraph.operators.skew import join_counted
+from quillgraph.operators.skew import join_counted, join_dealt
 
 WORDS, PERMUTATIONS, SEED = 5, 128, 1
 _RANDOM = np.random.Generator(np.random.PCG64(SEED))
@@ -128,34 +128,71 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 BANDS, BAND = 25, 5
 SIMILARITY = 0.8
 #: Members of a bucket that meet the whole bucket in one group.
-PART = 500
+PART = 2000
 
 
 def _name(shingle_set: np.ndarray) -> bytes:
     return hashlib.sha256(shingle_set.tobytes()).digest()[:16]
 
 
-def _apart(placed: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of a bucket that are in two classes, were not compared with its lead and whose sizes allow the similarity.
+#: Texts at 0.8 similarity differ in 19.2 of the 128 pairs of sketch bits, give or take 4; in over FAR, twice in a million.
+FAR = 40
 
-    A bucket's members are dealt out in parts of PART, each of which meets the whole bucket.
+
+def _sketch(signature: np.ndarray) -> np.ndarray:
+    """The two low bits of each minimum, in four longs."""
+    bits = np.unpackbits(signature.astype(np.uint8)[:, None], axis=1)[:, 6:]
+    return np.frombuffer(np.packbits(bits.ravel()).tobytes(), np.int64)
+
+
+def _unlike(a: str, b: str) -> Column:
+    """How many pairs of bits of two sketches differ."""
+    apart = [F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))) for k in range(4)]
+    return sum((F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) for x in apart), F.lit(0))
+
+
+def _apart(placed: DataFrame, scored: DataFrame, sets: DataFrame, bands: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a bucket that are in two classes, were not compared with its lead and can have the similarity.
+
+    The lead is a vantage point: Jaccard distance is a metric, so two members whose distances from it differ by more than a
+    link's are no link; nor are two whose sketches are far apart. And what two members share is at most what either of them shares with any others at all. A pair
+    comes from the first band that both have. Members outside the lead's class are dealt out in parts of PART, each of which
+    meets the whole bucket.
     """
-    member = placed.join(classes, placed["rep"] == classes["node"], "left").select("h", "lead", "rep", "size", F.coalesce("component", "rep").alias("class"))
-    mixed = member.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("m")).where("low < high")
-    member = checkpoint(join_counted(member, mixed.select("h", "m", F.col("m").alias("rows")), ["h"], "rows").where("lead <> rep"))
-    parts = F.ceil(F.col("m") / PART).cast("int")
-    a = member.select("h", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), F.col("rep").alias("a"), F.col("size").alias("sa"), F.col("class").alias("ca"))
-    b = member.select("h", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("rep").alias("b"), F.col("size").alias("sb"), F.col("class").alias("cb"))
-    fits = F.least("sa", "sb") >= similarity * F.greatest("sa", "sb")
-    return a.join(b, ["h", "part"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b")
+    member = placed.join(classes, placed["rep"] == classes["node"], "left").select("h", "i", "lead", "rep", "size", F.coalesce("component", "rep").alias("class"))
+    of_lead = F.max(F.when(F.col("rep") == F.col("lead"), F.col("class"))).alias("main")
+    mixed = member.groupBy("h").agg(of_lead, F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("rows")).where("low < high").select("h", "main", "rows")
+    member = checkpoint(join_counted(member, mixed, ["h"], "rows").where("lead <> rep"))
+    reps = checkpoint(member.select("rep").distinct())
+    shingle = sets.join(reps, "rep").select("rep", F.explode("x").alias("s"))
+    own = shingle.groupBy("s").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    about = checkpoint(reps.join(bands, "rep").join(own, "rep", "left").select("rep", "bands", "sketch", F.coalesce("own", F.lit(0)).alias("own")))
+    member = member.withColumns({"a": F.least("lead", "rep"), "b": F.greatest("lead", "rep")}).join(scored.select("a", "b", "far"), ["a", "b"], "left").drop("a", "b", "lead")
+    member = member.join(about, "rep").withColumn("most", F.col("size") - F.col("own")).where(F.col("most") >= similarity * F.col("size"))
+    member = checkpoint(member.select("h", "i", "main", "class", "rep", "size", "most", "far", "bands", "sketch"))
+    outside = member.where("class <> main").groupBy("h").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.count("*").alias("n"))
+    each = ("rep", "size", "class", "most", "far", "bands", "sketch")
+    a = join_counted(member.where("class <> main"), outside, ["h"], "n").select("h", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"{c}_a") for c in each])
+    met = join_counted(member, member.groupBy("h").agg(F.count("*").alias("n")).join(outside.select("h", "parts"), "h"), ["h"], "n")
+    b = met.select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "main", "i", *[F.col(c).alias(f"{c}_b") for c in each])
+    once = (F.col("class_a") != F.col("class_b")) & ((F.col("class_b") == F.col("main")) | (F.col("rep_a") < F.col("rep_b")))
+    fits = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b")
+    able = F.least("most_a", "most_b") >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    near = F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= 1 - similarity + 1e-9, F.lit(True))
+    near = near & (_unlike("sketch_a", "sketch_b") <= FAR)
+    before = F.lit(False)
+    for k in range(BANDS - 1):
+        before = before | ((F.col("i") > k) & (F.get("bands_a", F.lit(k)) == F.get("bands_b", F.lit(k))))
+    return a.join(b, ["h", "part"]).where(once & fits & able & near & ~before).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """``(key, class_id)``: the smallest key that links reach; texts of that Jaccard similarity of shingles or more link.
 
     Texts with equal shingle sets are one representative. Representatives that share a signature band are
-    candidates: each against its bucket's lead first, which a hash picks for each bucket, and then each two of a
-    bucket that no chain of links has joined yet, so a large group of near copies is never paired up in full and still loses no link. A
+    candidates: each against its bucket's lead first, the member whose bands' buckets are the largest (the text that
+    most others were copied from has most of its bands in common with them), and then each two of a
+    bucket that no chain of links has joined yet, so a large group of near copies is not paired up in full and still loses no link. A
     link counts if the sets of 32-bit shingle hashes have that similarity. NULL counts as empty; texts without a
     word are one class. Rows with a NULL key take their representative's class (NULL if it has no key). Empty input, empty result.
     docs is read several times.
@@ -163,43 +200,48 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     def describe(texts: list) -> tuple:
         sets = [np.unique(shingles(t or "", words)) for t in texts]
-        bands = []
+        bands, sketches = [], []
         for t in texts:
             least = signature(t, words)
+            sketches.append(_sketch(least))
             parts = (hashlib.blake2b(least[k * BAND : (k + 1) * BAND].tobytes(), digest_size=8, person=bytes([k])).digest() for k in range(BANDS))
             bands.append(np.frombuffer(b"".join(parts), np.int64))
-        return None, [[_name(x) for x in sets], [len(x) for x in sets], bands]
+        return None, [[_name(x) for x in sets], [len(x) for x in sets], bands, sketches]
 
     def contents(texts: list) -> tuple:
         sets = [np.unique(shingles(t or "", words)) for t in texts]
-        return None, [[_name(x) for x in sets], [x.astype(np.int64) for x in sets]]
+        return None, [[_name(x) for x in sets], [x.astype(np.uint32).view(np.int32) for x in sets]]
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
-    found = checkpoint(map_texts(rows, "t", "name binary, size int, bands array<bigint>", describe))
+    found = checkpoint(map_texts(rows, "t", "name binary, size int, bands array<bigint>, sketch array<bigint>", describe))
     # partially aggregated, so that the copies of one text need not meet
-    reps = checkpoint(found.groupBy("name").agg(F.min("key").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count("*").alias("n")))
+    reps = checkpoint(found.groupBy("name").agg(F.min("key").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count("*").alias("n")))
     one = reps.where("rep IS NOT NULL")
-    placed = one.select("rep", "size", F.explode("bands").alias("h"))
-    lead = F.min_by(F.struct(F.col("rep").alias("lead"), F.col("size").alias("lead_size")), F.struct(F.xxhash64("rep", "h"), "rep"))
-    buckets = placed.groupBy("h").agg(lead.alias("v"), F.count("*").alias("c")).where("c > 1").select("h", "v.*", "c")
-    placed = checkpoint(join_counted(placed, buckets, ["h"], "c"))
+    placed = one.select("rep", "size", F.posexplode("bands").alias("i", "h"))
+    full = placed.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h", "c", F.col("c").alias("n"))
+    placed = checkpoint(join_counted(placed, full, ["h"], "n"))
+    placed = placed.join(placed.groupBy("rep").agg(F.sum("c").alias("weight")), "rep")
+    lead = F.max_by(F.struct(F.col("rep").alias("lead"), F.col("size").alias("lead_size")), F.struct("weight", F.xxhash64("rep"), "rep"))
+    leads = placed.groupBy("h").agg(lead.alias("v"), F.count("*").alias("n")).select("h", "v.*", "n")
+    placed = checkpoint(join_counted(placed.select("rep", "size", "i", "h"), leads, ["h"], "n"))
     named = placed.select("rep").distinct().join(one.select("rep", "name"), "rep")
     wanted = checkpoint(where_marked(rows.withColumn("row", F.col("key")), named.select(F.col("rep").alias("row"))))
-    sets = map_texts(wanted.select("key", "t"), "t", "name binary, x array<bigint>", contents)
+    sets = map_texts(wanted.select("key", "t"), "t", "name binary, x array<int>", contents)
     sets = checkpoint(sets.join(named, (sets["key"] == named["rep"]) & (sets["name"] == named["name"])).select("rep", sets["name"], "x").dropDuplicates(["rep", "name"]).select("rep", "x"))
 
-    def alike(pairs: DataFrame) -> DataFrame:
+    def score(pairs: DataFrame) -> DataFrame:
         pairs = checkpoint(pairs.distinct())
-        often = pairs.groupBy("a").agg(F.count("*").alias("n"))
-        left = join_counted(pairs, often.join(sets.select(F.col("rep").alias("a"), F.col("x").alias("xa")), "a"), ["a"], "n").drop("n")
-        sides = left.join(sets.select(F.col("rep").alias("b"), F.col("x").alias("xb")), "b")
+        left = join_dealt(pairs, sets.select(F.col("rep").alias("a"), F.col("x").alias("xa")), ["a"], ["b"])
+        sides = join_dealt(left, sets.select(F.col("rep").alias("b"), F.col("x").alias("xb")), ["b"], ["a"], counted=pairs)
         shared = F.size(F.array_intersect("xa", "xb"))
-        return checkpoint(sides.where(shared >= similarity * (F.size("xa") + F.size("xb") - shared)).select("a", "b").distinct())
+        sides = sides.select("a", "b", shared.alias("shared"), (F.size("xa") + F.size("xb") - shared).alias("all"))
+        return checkpoint(sides.select("a", "b", (1 - F.col("shared") / F.col("all")).alias("far"), (F.col("shared") >= similarity * F.col("all")).alias("linked")))
 
     fits = F.least("size", "lead_size") >= similarity * F.greatest("size", "lead_size")
-    led = alike(placed.where((F.col("lead") != F.col("rep")) & fits).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")))
-    more = alike(_apart(placed, connected_components(led, "a", "b"), similarity))
-    classes = connected_components(led.union(more), "a", "b")
+    scored = score(placed.where((F.col("lead") != F.col("rep")) & fits).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")))
+    led = scored.where("linked").select("a", "b")
+    more = score(_apart(placed, scored, sets, one.select("rep", "bands", "sketch"), connected_components(led, "a", "b"), similarity))
+    classes = connected_components(led.union(more.where("linked").select("a", "b")), "a", "b")
     named = reps.join(classes, reps["rep"] == classes["node"], "left").select("name", F.coalesce("component", "rep").alias("class_id"), "n")
     return join_counted(found.select("key", "name"), named, ["name"], "n").select(F.col("key").alias(key), "class_id")
 
