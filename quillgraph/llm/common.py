@@ -59,8 +59,8 @@ def intervals(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True))
 
 
-def where_marked(rows: DataFrame, marked: DataFrame) -> DataFrame:
-    """rows whose ``row`` may be in marked: all that are, and few others, by a filter of a fixed size."""
+def split_marked(rows: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows whose ``row`` may be in marked (all that are, and few others), and the rest; by a filter of a fixed size."""
     bit = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
     words = marked.select(bit.alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("m"))
     bits = np.zeros(FILTER_BITS // 64, np.int64)
@@ -69,9 +69,17 @@ def where_marked(rows: DataFrame, marked: DataFrame) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(bits)
     names = rows.columns
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = b.column("p").to_numpy(zero_copy_only=False)
-            yield b.select(names).filter(pa.array((shared.value[p >> 6] >> (p & 63)) & 1 == 1))
+    def part(set_: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                p = b.column("p").to_numpy(zero_copy_only=False)
+                yield b.select(names).filter(pa.array((shared.value[p >> 6] >> (p & 63)) & 1 == set_))
+
+        return keep
+
+    return tuple(rows.withColumn("p", bit).mapInArrow(part(k), rows.schema) for k in (1, 0))
 
-    return rows.withColumn("p", bit).mapInArrow(keep, rows.schema)
+
+def where_marked(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """rows whose ``row`` may be in marked: all that are, and few others."""
+    return split_marked(rows, marked)[0]

@@ -1,4 +1,4 @@
-"""Each operator against brute force: NULLs, empty and long texts, ties, repeated rows, clashing columns, empty tables."""
+"""Each corpus operator against brute force: NULLs, empty and long texts, ties, repeated rows, clashing columns, empty tables."""
 
 import hashlib
 import random
@@ -140,7 +140,6 @@ def test_packing(docs, empty):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     expected = Counter()
     for r in ROWS:
         ids = np.array([*own.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4")
@@ -269,31 +268,73 @@ def test_url_filter(stored):
     assert found[11] == ("b:", "//c", None, "allow")
 
 
-def repeats_by_hand(rows):
-    windows = Counter(t[p : p + 400] for t in rows for p in range(len(t) - 399))
+def repeats_by_hand(rows, window=400):
+    windows = Counter(t[p : p + window] for t in rows for p in range(len(t) - window + 1))
     out = []
     for t in rows:
         gone = np.zeros(len(t), bool)
-        for p in range(len(t) - 399):
-            if windows[t[p : p + 400]] > 1:
-                gone[p : p + 400] = True
+        for p in range(len(t) - window + 1):
+            if windows[t[p : p + window]] > 1:
+                gone[p : p + window] = True
         left = np.frombuffer(t, np.uint8)[~gone].tobytes()
         out.append((len(t), int(gone.sum()), len(suffix_array.intervals(gone)), hashlib.sha256(left).hexdigest()))
     return out
 
 
-@pytest.mark.parametrize("most", [5_000, 1])
-def test_suffix_array_dedup(stored, empty, most, monkeypatch):
+@pytest.mark.parametrize(("most", "window"), [(5_000, 400), (1, 400), (2, 60)])
+def test_suffix_array_dedup(stored, empty, most, window, monkeypatch):
     monkeypatch.setattr(suffix_array, "MOST_STRINGS", most)
     rows = [r for r in ROWS if len(r[1] or "") < 20_000]
     for _ in range(40):  # edits within shared passages
         t = random.choice(BASE) + random.choice(BASE)
         at = random.randint(0, len(t) - 1)
         rows.append((1000 + len(rows), prose(9) + t[:at] + "Q" + t[at + 1 :], None, *ROWS[0][3:]))
-    found = suffix_array.remove_repeats(stored(rows, SCHEMA), carry=("lang",))
-    expected = repeats_by_hand([(r[1] or "").encode() for r in rows])
+    found = suffix_array.remove_repeats(stored(rows, SCHEMA), carry=("lang",), window=window)
+    expected = repeats_by_hand([(r[1] or "").encode() for r in rows], window)
     assert pairs(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter((r[0], *x) for r, x in zip(rows, expected, strict=True))
-    assert sum(x[1] for x in expected) > 10_000 and suffix_array.remove_repeats(empty).count() == 0
+    assert sum(x[1] for x in expected) > 10_000 and suffix_array.remove_repeats(empty, window=window).count() == 0
+
+
+def words_by_hand(rows, window):
+    """The texts without the words of repeated runs."""
+    spans = [[m.span() for m in re.finditer(r"\S+", t)] for t in rows]
+    words = [[t[s:e] for s, e in x] for t, x in zip(rows, spans, strict=True)]
+    seen = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
+    out = []
+    for t, x, w in zip(rows, spans, words, strict=True):
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i : i + window])] > 1:
+                gone |= set(range(x[i][0], x[i + window - 1][1]))
+        out.append("".join(c for k, c in enumerate(t) if k not in gone))
+    return out
+
+
+@pytest.mark.parametrize("most", [5_000, 1])
+def test_suffix_array_dedup_of_words(stored, empty, most, monkeypatch):
+    monkeypatch.setattr(suffix_array, "MOST_STRINGS", most)
+    rng = random.Random(11)
+    vocabulary = [w for w in WORDS if w != "日本"]
+    passages = [[rng.choice(vocabulary) for _ in range(51)] for _ in range(4)]
+    texts = [None, "", "  ", "one", " ".join(vocabulary[:50])]
+    for k in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(5, 70))]
+        at = rng.randint(0, len(words))
+        part = passages[k % 4][rng.randint(0, 3) :] if k % 3 else []
+        texts.append(rng.choice([" ", "  ", "\n"]).join([*words[:at], *part, *words[at:]]))
+    rows = [(k, t) for k, t in enumerate(texts)]
+    found = {r.doc_id: r.kept for r in suffix_array.remove_repeats(stored(rows, "doc_id long, text string"), with_text=True, window=50, words=True).collect()}
+    expected = words_by_hand([t or "" for t in texts], 50)
+    assert [found[k] for k in range(len(texts))] == expected and sum(len(t or "") - len(e) for t, e in zip(texts, expected, strict=True)) > 3_000
+    assert suffix_array.remove_repeats(empty, window=50, words=True).count() == 0
+
+
+def test_a_passage_of_51_short_words_goes(stored):
+    passage = " ".join(["ab cde fghi jklm"] * 12 + ["end of it"])
+    rows = [(k, f"start{k} {passage} stop{k}") for k in range(2)]
+    assert len(passage) < 285 and len(passage.split()) == 51
+    found = {r.doc_id: r.kept for r in suffix_array.remove_repeats(stored(rows, "doc_id long, text string"), with_text=True, window=50, words=True).collect()}
+    assert found == {0: "start0  stop0", 1: "start1  stop1"}
 
 
 def test_suffix_array_is_sorted():
@@ -364,3 +405,19 @@ def test_packing_gives_added_tokens_their_own_id(spark):
     texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|><|endoftext|> y <|endoftext", "plain"]
     found = packing.token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, with_ids=True)
     assert {r.doc_id: r.ids for r in found.collect()} == {k: [*own.encode(t, add_special_tokens=False).ids, 2] for k, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("run", [" " * 2_000_000, "\n" * 2_000_000, "\t " * 1_000_000])
+def test_long_runs_of_white_space(run):
+    from tokenizers import Tokenizer
+
+    enc = bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for text in (run + "a b", run, "x" + run + "\x1c.", "q" * 70_000 + run[:70_000] + "\n\nb" + run + "1"):
+        assert enc.decode(bpe.encode(text, enc).tolist()) == text
+    # the rule that long runs follow, on runs that the library can still match
+    short = run[:70_000]
+    for text in (short + "a b" * 9, "x" + short, "y" + short + "\x1c.", short + "\n7"):
+        assert bpe.encode(text, enc).tolist() == enc.encode_ordinary(text)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = bpe.encode_with_added("x" + short + "a<|endoftext|>" + short, bpe.encoding(path), bpe.added_tokens(path)).tolist()
+    assert found == Tokenizer.from_file(path).encode("x" + short + "a<|endoftext|>" + short, add_special_tokens=False).ids
