@@ -60,3 +60,30 @@ def field_statistics(df: DataFrame) -> DataFrame:
     counts = df.agg(F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"n_{k}") for k, c in enumerate(df.columns)])
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"n_{k}").alias("nulls")) for k, c in enumerate(df.columns)]))
     return counts.select("rows", pairs.alias("p")).select("p.field", "p.nulls", "rows", F.round(F.when(F.col("rows") > 0, F.col("p.nulls") / F.col("rows")).otherwise(0.0), 6).alias("null_share"))
+
+
+def count_checks(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """``(check_name, n, total)`` of checks that look at one row each, in one scan; NULL counts as no fault."""
+    counts = rows.agg(F.count("*").alias("total"), *[F.count_if(p).alias(f"n_{k}") for k, p in enumerate(checks.values())])
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("check_name"), F.col(f"n_{k}").alias("n")) for k, c in enumerate(checks)]))
+    return counts.select("total", pairs.alias("p")).select("p.check_name", "p.n", "total")
+
+
+def run_isolated(checks: list[Check], tables: Tables) -> DataFrame:
+    """As ``run``; a check that can't be planned (a table or column is not there) has status ``failed`` and no counts, and the others run."""
+    good, bad = [], []
+    for c in checks:
+        try:
+            c.found(tables).schema  # noqa: B018  analysis alone
+            good.append(c)
+        except Exception:
+            bad.append(c)
+    names = next(iter(tables.values())).sparkSession.createDataFrame([(c.name,) for c in bad], "check_name string")
+    failed = names.select("check_name", F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("total"), F.lit(None).cast("double").alias("share"), F.lit("failed").alias("status"))
+    return run(good, tables).union(failed) if good else failed
+
+
+def worst_first(results: DataFrame) -> DataFrame:
+    """Results in the order of a report: failed, error, warning, ok; then the larger share, then the name."""
+    rank = F.when(F.col("status") == "failed", 0).when(F.col("status") == "error", 1).when(F.col("status") == "warning", 2).otherwise(3)
+    return results.orderBy(rank, F.col("share").desc_nulls_first(), "check_name")
