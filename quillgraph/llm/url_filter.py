@@ -27,9 +27,9 @@ RULES = [
 ]
 #: Hosts that are blocked with all their subdomains.
 LISTED = ["ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org"]
-#: A level is a constant of the plan: this many bits (1 MB) at most, or building it is refused.
+#: A level is a constant of the plan: this many bits (1 MB) at most. A list that needs more is looked up by a join, as exactly.
 MOST_BITS = 8_388_608
-HASHES, BITS_A_KEY = 5, 8
+MOST_HASHES, BITS_A_KEY = 10, 8
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -47,15 +47,25 @@ def _suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
 
 
+class Oversized(ValueError):
+    """A level would have more than MOST_BITS bits."""
+
+
+def bits_a_key(keys: int, others: int) -> int:
+    """So many bits for each key that about as many others pass by mistake as there are keys."""
+    return max(BITS_A_KEY, math.ceil(1.6 * math.log2(max(2, others / max(1, keys)))))
+
+
 class Level:
-    """A Bloom filter: bit positions are hashes of (level, k, key)."""
+    """A Bloom filter: bit positions are hashes of (level, k, key). others: how many keys it is asked about besides its own."""
 
-    def __init__(self, keys: DataFrame, level: int) -> None:
+    def __init__(self, keys: DataFrame, level: int, others: int) -> None:
         self.level, n = level, keys.count()
-        self.bits = 64 * math.ceil(max(1, n) * BITS_A_KEY / 64)
+        each = bits_a_key(n, others)
+        self.bits, self.hashes = 64 * math.ceil(max(1, n) * each / 64), min(MOST_HASHES, round(each * math.log(2)))
         if self.bits > MOST_BITS:
-            raise ValueError(f"{n} keys need {self.bits} bits; a level has {MOST_BITS} at most. Split the list by host hash.")
-        at = F.explode(F.array(*[self._position(F.col("key"), k) for k in range(HASHES)])).alias("at")
+            raise Oversized(f"{n} keys need {self.bits} bits")
+        at = F.explode(F.array(*[self._position(F.col("key"), k) for k in range(self.hashes)])).alias("at")
         words = keys.select(at).groupBy(F.expr("at div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("m"))
         found = {r["w"]: r["m"] for r in words.collect()}
         self.words = [found.get(w, 0) for w in range(self.bits // 64)]
@@ -65,27 +75,26 @@ class Level:
 
     def has(self, key: Column) -> Column:
         words, found = F.lit(self.words), F.lit(True)
-        for k in range(HASHES):
+        for k in range(self.hashes):
             at = self._position(key, k)
             found = found & (F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1)
         return F.coalesce(found, F.lit(False))
 
 
-def cascade(universe: DataFrame, listed: DataFrame, most_levels: int = 32) -> list[Level]:
+def cascade(universe: DataFrame, listed: DataFrame) -> list[Level]:
     """The levels for keys ``key`` of the corpus and of the list. Both may hold repeated and NULL keys.
 
-    Only while it is built do keys meet the list in a join.
+    Only while it is built do keys meet the list in a join. The first level is sized by both counts, so that what passes it by
+    mistake is about as much as the list however large the corpus. Raises Oversized if a level is over MOST_BITS.
     """
     listed = checkpoint(listed.select("key").where("key IS NOT NULL").distinct())
     others = checkpoint(universe.select("key").where("key IS NOT NULL").distinct().join(listed, "key", "left_anti"))
     levels, inside, outside = [], listed, others
     while True:
-        levels.append(level := Level(inside, len(levels)))
+        levels.append(level := Level(inside, len(levels), outside.count()))
         wrong = checkpoint(outside.where(level.has(F.col("key"))))
         if wrong.isEmpty():
             return levels
-        if len(levels) == most_levels:
-            raise ValueError(f"{most_levels} levels don't tell all keys apart")
         inside, outside = wrong, inside
 
 
@@ -97,24 +106,31 @@ def member(levels: list[Level], key: Column) -> Column:
     return out
 
 
-def judge(pages: DataFrame, listed: list[str], rules: list[tuple[str, str, str]], key: str = "page_id", url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, listed: list[str] | DataFrame, rules: list[tuple[str, str, str]], key: str = "page_id", url: str = "url") -> DataFrame:
     """``(key, host, path, rule, verdict)`` for every row of pages.
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest of those that fit
     gives the verdict. Without one, a page is blocked if its host or a domain above it is listed.
     NULL urls and urls without ``://`` have an empty host and path, fit no rule and are allowed unless
-    the empty host is listed. Keys may be NULL or repeat; other columns are not read.
+    the empty host is listed. Keys may be NULL or repeat; other columns are not read. Empty input, empty result. Urls may have
+    any length. listed: hosts, or rows ``key``; one too long for the cascade's levels is met by a join of the corpus's distinct hosts.
     """
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(key), host.alias("host"), path.alias("path"))
     universe = rows.select("host").distinct().select(F.explode(_suffixes(F.col("host"))).alias("key"))
-    levels = cascade(universe, pages.sparkSession.range(1).select(F.explode(F.lit(listed)).alias("key")))
+    keys = listed if isinstance(listed, DataFrame) else pages.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, listed)).cast("array<string>")).alias("key"))
+    try:
+        levels = cascade(universe, keys)
+        blocked = F.exists(_suffixes(F.col("host")), lambda k: member(levels, k))
+    except Oversized:
+        hosts = rows.select("host").distinct().select("host", F.explode(_suffixes(F.col("host"))).alias("key"))
+        rows = rows.join(hosts.join(keys, "key", "left_semi").select("host").distinct().withColumn("listed", F.lit(True)), "host", "left")
+        blocked = F.coalesce("listed", F.lit(False))
 
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for says, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r)):
         fits = ((F.col("host") == h) | F.endswith(F.col("host"), F.lit("." + h))) & F.startswith(F.col("path"), F.lit(p))
         rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(says)).otherwise(verdict)
-    blocked = F.exists(_suffixes(F.col("host")), lambda k: member(levels, k))
     return rows.select(key, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(blocked, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
 
 

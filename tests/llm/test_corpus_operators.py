@@ -256,6 +256,25 @@ def test_cascade_is_exact(spark):
     assert wrong.isEmpty() and len(levels) > 1 and levels[-1].bits < levels[0].bits
 
 
+def test_first_level_follows_the_corpus(spark):
+    assert url_filter.bits_a_key(6, 10) == 8 and url_filter.bits_a_key(6, 6 << 30) == 48
+    universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    levels = url_filter.cascade(universe, spark.sql("SELECT explode(array('k5', 'k7', 'z')) AS key"))
+    assert universe.where(url_filter.member(levels, F.col("key"))).count() == 2 and levels[0].bits <= 128
+
+
+def test_a_list_beyond_a_level_is_as_exact(stored, monkeypatch):
+    urls = [None, "", "http://" + "a" * 100_000 + ".example.com/x", "http://m.free-bets.example.net/a", "http://spam-farm.example.org?x", "http://ok.example.org"]
+    pages = stored([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    few = [tuple(r) for r in url_filter.judge(pages, url_filter.LISTED, url_filter.RULES).orderBy("page_id").collect()]
+    monkeypatch.setattr(url_filter, "MOST_BITS", 32)
+    assert [tuple(r) for r in url_filter.judge(pages, url_filter.LISTED, url_filter.RULES).orderBy("page_id").collect()] == few
+    assert [r[4] for r in few] == ["allow"] * 3 + ["block", "block", "allow"]
+    assert url_filter.judge(stored([], "page_id long, url string", "none"), [], url_filter.RULES).count() == 0
+    rows = pages.sparkSession.sql("SELECT explode(array('free-bets.example.net', 'spam-farm.example.org')) AS key")
+    assert [r.verdict for r in url_filter.judge(pages, rows, url_filter.RULES).orderBy("page_id").collect()] == [r[4] for r in few]
+
+
 def test_url_filter(stored):
     urls = [None, "", "no scheme", "http://a.Example.COM/en/7x?q", "http://example.com/en/6", "https://x.org/es/#f", "ftp://notcom/en/", "http://m.free-bets.example.net/a", "http://example.net/de/8/1", "http://com", "http://spam-farm.example.org?x", "a://b://c"]
     rows = [(k, u, "h", "v") for k, u in enumerate(urls)] + [(None, urls[3], "h", "v")]
