@@ -50,10 +50,10 @@ def c08_publication_aliases(t):
 
 
 @graph_query(_PUBS + """SELECT DISTINCT per, coalesce(survivor, pid) AS pid, bool_or(corresponding) OVER (PARTITION BY per, coalesce(survivor, pid)) AS corresponding
-FROM authorship LEFT JOIN s USING (pid) WHERE per <= 20""")
+FROM authorship LEFT JOIN s USING (pid)""")
 def g06_fold_authorship(t):
     """Authorship moved to the surviving publications, edges of one pair as one."""
-    moved = groups.repoint(t["authorship"].where("per <= 20").select("per", "pid", "corresponding", "position"), merge_publications(_pubs(t))[1], "pid")
+    moved = groups.repoint(t["authorship"].select("per", "pid", "corresponding", "position"), merge_publications(_pubs(t))[1], "pid")
     return edges.collapse(moved, ["per", "pid"], F.col("position"), [], ["corresponding"], [], [])
 
 

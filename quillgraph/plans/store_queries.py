@@ -169,10 +169,10 @@ def g05_identity_groups(t):
     return groups.identity_groups(r, "rid", ["k1", "k2"]).withColumnRenamed("group", "grp")
 
 
-@graph_query("""SELECT per, pid, (pid % 10) AS root FROM authorship WHERE pid <= 1000""")
+@graph_query("""SELECT per, pid, (pid % 10) AS root FROM authorship""")
 def g07_repoint(t):
-    aliases = t["publications"].where("pid <= 1000 AND pid > 9").select(F.col("pid").alias("old"), (F.col("pid") % 10).alias("new"))
-    moved = t["authorship"].where("pid <= 1000").select("per", "pid", F.col("pid").alias("root"))
+    aliases = t["publications"].where("pid > 9").select(F.col("pid").alias("old"), (F.col("pid") % 10).alias("new"))
+    moved = t["authorship"].select("per", "pid", F.col("pid").alias("root"))
     return groups.repoint(moved, aliases, "root")
 
 
@@ -193,10 +193,14 @@ def _walk(t):
     return t["authorship"].select((-1 - F.col("per")).alias("a"), F.col("pid").alias("b"))
 
 
-@graph_query("""SELECT pid AS node, min(-1 - per) AS root, 1 AS dist FROM authorship WHERE per <= 20 GROUP BY pid HAVING count(*) = 1
-UNION ALL SELECT -1 - per, -1 - per, 0 FROM persons WHERE per <= 20""")
+@graph_query(""", l0 AS (SELECT per, -1 - per AS r FROM persons WHERE internal),
+l1 AS (SELECT pid, min(r) AS low, max(r) AS high FROM authorship JOIN l0 USING (per) GROUP BY pid),
+l2 AS (SELECT per, min(low) AS low, max(high) AS high FROM authorship JOIN l1 USING (pid) WHERE per NOT IN (SELECT per FROM l0) GROUP BY per),
+l3 AS (SELECT pid, min(low) AS low, max(high) AS high FROM authorship JOIN l2 USING (per) WHERE pid NOT IN (SELECT pid FROM l1) GROUP BY pid)
+SELECT r AS node, r AS root, 0 AS dist FROM l0 UNION ALL SELECT pid, low, 1 FROM l1 WHERE low = high UNION ALL SELECT -1 - per, low, 2 FROM l2 WHERE low = high UNION ALL SELECT pid, low, 3 FROM l3 WHERE low = high""")
 def w05_nearest_root(t):
-    return groups.nearest_root(_walk(t), t["persons"].where("per <= 20").select((-1 - F.col("per")).alias("node")), 1)
+    """Staff are the roots; the walk goes on until nothing new is met (here every external has written with staff, so three steps)."""
+    return groups.nearest_root(_walk(t), t["persons"].where("internal").select((-1 - F.col("per")).alias("node")))
 
 
 @graph_query("""SELECT -1 - per AS node, 0 AS ring FROM persons WHERE per = 1 UNION ALL SELECT DISTINCT pid, 1 FROM authorship WHERE per = 1
