@@ -24,7 +24,7 @@ from quillgraph.operators.components import checkpoint
 CAPACITY = 1024
 END = 2
 #: Pieces of one length are ranked in parts of about RANKED, and all lengths in MOST_PARTS parts besides one each.
-RANKED, MOST_PARTS = 10_000, 100_000
+RANKED, MOST_PARTS = 1_000, 100_000
 
 
 def fullest(room: int, counts: dict[int, int]) -> dict[int, int]:
