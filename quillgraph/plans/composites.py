@@ -57,7 +57,10 @@ def g06_fold_authorship(t):
     return edges.collapse(moved, ["per", "pid"], F.col("position"), [], ["corresponding"], [], [])
 
 
-@query()
+@query("""WITH m AS (SELECT c_custkey AS account, s_suppkey AS author, least(1.0, 0.5 + CASE WHEN c_nationkey = s_nationkey THEN 0.4 ELSE 0 END) AS score
+FROM customer JOIN supplier ON regexp_extract(c_name, '([0-9]+)$', 1) = regexp_extract(s_name, '([0-9]+)$', 1)),
+r AS (SELECT *, rank() OVER (PARTITION BY account ORDER BY score DESC) AS r FROM m)
+SELECT account, CASE WHEN count(*) = 1 THEN min(author) END AS author, count(*) > 1 AS ambiguous FROM r WHERE r = 1 GROUP BY account""")
 def c09_account_match(spark, sf_dir):
     """Accounts (customers) matched with authors (suppliers) by three signals; a shared best score is left for review."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
