@@ -49,7 +49,8 @@ def fallback_person(orcid_: Column, name: Column) -> Column:
 
 
 def arxiv(c: Column) -> Column:
-    found = F.regexp_extract(F.lower(c), r"(?:arxiv[.:/]\s*(?:abs/|pdf/)?)(\d{4}\.\d{4,5})", 1)
+    """The number in an address, a DOI or an ``arXiv:`` reference, without its version."""
+    found = F.regexp_extract(F.lower(c), r"arxiv(?:\.org/(?:abs|pdf)/|[.:]\s*)(\d{4}\.\d{4,5})", 1)
     return F.when(found != "", found)
 
 
