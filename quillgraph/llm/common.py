@@ -14,19 +14,35 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Bits of the filter that keeps rows without a match from moving. Its size is fixed: a fuller one lets more rows through.
 FILTER_BITS = 1 << 23
+#: Texts that a Python task holds as Python objects at once, in bytes.
+PART_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where their texts reach PART_BYTES, so that texts don't add up; one longer text is a part of its own."""
+    for whole in batches:
+        read = whole.column(text)
+        lengths = pc.list_value_length(read) if pa.types.is_list(read.type) else pc.binary_length(read)
+        start = total = 0
+        for k, size in enumerate(pc.fill_null(lengths, 0).to_pylist()):
+            if total and total + size > PART_BYTES:
+                yield whole.slice(start, k - start)
+                start, total = k, 0
+            total += size
+        yield whole.slice(start)
+        pa.default_memory_pool().release_unused()  # workers are used again by later stages
+
+
 def map_texts(df: DataFrame, text: str, fields: str, each: Callable[[list], tuple], keep: bool = False) -> DataFrame:
     """df without its text column (with it if ``keep``), and the fields that ``each`` computes from a list of texts (or of id lists).
 
     ``each`` returns ``(rows, columns)``: which of the texts each row comes from (None: one row for
     each text) and a list of columns. All other columns pass as Arrow arrays, untouched, so NULL
-    keys and large integers stay as they are. A batch is cut where its texts reach 4 MB, so that long texts
-    don't add up.
+    keys and large integers stay as they are. Texts come in parts (see ``in_parts``).
     """
     kept = [c for c in df.columns if keep or c != text]
     added = _parse_datatype_string(fields)
@@ -34,21 +50,12 @@ def map_texts(df: DataFrame, text: str, fields: str, each: Callable[[list], tupl
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            read = whole.column(text)
-            lengths = pc.list_value_length(read) if pa.types.is_list(read.type) else pc.binary_length(read)
-            sizes = pc.fill_null(lengths, 0).to_pylist()
-            start = total = 0
-            for k, size in enumerate([*sizes, None]):
-                if size is None or total and total + size > 4_000_000:
-                    batch = whole.slice(start, k - start)
-                    start, total = k, 0
-                    rows, columns = each(batch.column(text).to_pylist())
-                    left = [batch.column(c) for c in kept]
-                    left = left if rows is None else [c.take(pa.array(rows, pa.int64())) for c in left]
-                    right = [pa.array(c, f.type, from_pandas=False) for c, f in zip(columns, list(arrow)[len(kept) :], strict=True)]
-                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(left, arrow, strict=False)] + right, schema=arrow)
-                total += size or 0
+        for batch in in_parts(batches, text):
+            rows, columns = each(batch.column(text).to_pylist())
+            left = [batch.column(c) for c in kept]
+            left = left if rows is None else [c.take(pa.array(rows, pa.int64())) for c in left]
+            right = [pa.array(c, f.type, from_pandas=False) for c, f in zip(columns, list(arrow)[len(kept) :], strict=True)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(left, arrow, strict=False)] + right, schema=arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import map_texts, table
+from quillgraph.llm.common import in_parts, map_texts, table
 
 #: n-grams of 1 to ORDERS characters are hashed to 2^BITS features.
 ORDERS, BITS = 3, 16
@@ -129,8 +129,8 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 
     def document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << BITS, np.int64)
-        for b in batches:
-            for t in b.column(0).to_pylist():
+        for b in in_parts(batches, "t"):
+            for t in b.column("t").to_pylist():
                 seen[features(t)[0]] += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["f", "n"])

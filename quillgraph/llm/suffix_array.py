@@ -24,13 +24,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import intervals, map_texts, split_marked, table, where_marked
+from quillgraph.llm.common import in_parts, intervals, map_texts, split_marked, table, where_marked
 from quillgraph.operators.components import checkpoint
 from quillgraph.operators.skew import join_counted
 
 WINDOW = 400
 #: Different strings with one common context that are sorted together; those of more are split by the bytes beside it.
 MOST_STRINGS = 5_000
+#: Starts that are hashed in one step.
+CHUNK = 1 << 18
 _MULTIPLIER = 0x9E3779B97F4A7C15
 #: Words: what ASCII white space separates; in scripts without spaces each character.
 _UNSPACED = "\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff"
@@ -87,9 +89,9 @@ def anchors(texts: list[np.ndarray], sizes: Sizes) -> tuple[np.ndarray, ...]:
     ends = np.cumsum(lengths)
     data = np.concatenate(texts) if texts else np.empty(0, np.uint8)
     found = []
-    for low in range(0, max(1, len(data) - window + 1), 1 << 20):
-        part = data[low : low + (1 << 20) + window + 2 * span]
-        starts = min(1 << 20, len(part) - window + 1)
+    for low in range(0, max(1, len(data) - window + 1), CHUNK):
+        part = data[low : low + CHUNK + window + 2 * span]
+        starts = min(CHUNK, len(part) - window + 1)
         if starts <= 0:
             continue
         a = _prefix(part)
@@ -343,10 +345,11 @@ def repeated_starts(rows: DataFrame, sizes: Sizes, words: bool = False) -> DataF
     """``(row, first, last)``: the starts whose windows start anywhere else as well; of rows (row, b), b binary."""
 
     def runs(texts: list, digests: bool) -> tuple:
+        if not digests:  # no text's words outlive their hashes
+            text, h, *_ = anchors([_Text(t or b"", words).symbols() for t in texts], sizes)
+            return text, [h.view(np.int64)]
         read = [_Text(t or b"", words) for t in texts]
         text, h, anchor, first, last = anchors([t.symbols() for t in read], sizes)
-        if not digests:
-            return text, [h.view(np.int64)]
         covered = (read[k].bytes(a, z + sizes.window) for k, a, z in zip(text.tolist(), first.tolist(), last.tolist(), strict=True))
         d = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in covered), np.int64).reshape(-1, 2)
         return text, [h.view(np.int64), d[:, 0], d[:, 1], anchor.astype(np.int32), first.astype(np.int32), last.astype(np.int32)]
@@ -364,7 +367,7 @@ def repeated_starts(rows: DataFrame, sizes: Sizes, words: bool = False) -> DataF
     step, window = sizes.step, sizes.window
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches, "b"):
             out = []
             for row, data, asks in zip(b.column("row").to_pylist(), b.column("b").to_pylist(), b.column("runs").to_pylist(), strict=True):
                 text = _Text(data, words)
@@ -405,7 +408,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     near, far = split_marked(rows, spans)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches, "b"):
             removed, runs, sha, left = [], [], [], []
             for data, x in zip(b.column("b").to_pylist(), b.column("x").to_pylist(), strict=True):
                 gone, n = _Text(data, words).gone([(y["first"], y["last"]) for y in x], window) if x else (np.zeros(len(data), bool), 0)
