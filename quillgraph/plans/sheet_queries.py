@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.given import given_channels, given_fit
 from quillgraph.functions.markup import emails_in_html, without_markup
+from quillgraph.functions.wraps import unwrapped
 from quillgraph.plans.derived import derived_query
 
 _GIVEN = "regexp_replace(lower(given), '[^a-z]', '', 'g')"
@@ -72,3 +73,17 @@ def i28_paper_sheet(t):
     blank = F.lit("")
     has = F.when(F.coalesce("abstract", blank) != "", "yes").otherwise("no")
     return t["works"].where("has_code").join(urls, "pid", "left").select("pid", F.coalesce("title", blank).alias("title"), F.coalesce("doi", blank).alias("doi"), has.alias("has_abstract"), F.coalesce("urls", blank).alias("urls"))
+
+
+@derived_query("""SELECT rid, array_to_string(CASE rid % 4 WHEN 0 THEN ['https://github.com/owner/r' || rid, 'https://github.com/own-er/r' || rid] WHEN 1 THEN ['https://github.com/own/r_', 'https://github.com/own/r_' || rid]
+WHEN 2 THEN ['https://github.com/own/r' || rid] ELSE [] END, ' ') AS candidates FROM code""")
+def f33_wrapped_addresses(t):
+    """What each address that a line end cuts can have been."""
+    end = F.col("rid").cast("string")
+    raw = (
+        F.when(F.col("rid") % 4 == 0, F.concat(F.lit("https://github.com/own-\n  er/r"), end))
+        .when(F.col("rid") % 4 == 1, F.concat(F.lit("https://github.com/own/r_\n"), end, F.lit(".")))
+        .when(F.col("rid") % 4 == 2, F.concat(F.lit("https://github.com/own/r"), end, F.lit("-).")))
+        .otherwise(F.concat(F.lit("https://example.org/own-\n/r"), end))
+    )
+    return t["code"].select("rid", F.array_join(unwrapped(raw), " ").alias("candidates"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.given import given_channels, given_fit
 from quillgraph.functions.markup import emails_in_html, without_markup
+from quillgraph.functions.wraps import unwrapped
 
 
 def test_markup(spark):
@@ -32,3 +33,21 @@ def test_given_names(spark):
     assert all(r.got == r.want for r in rows.select("want", given_fit(F.col("a"), F.col("b")).alias("got")).collect())
     names = spark.createDataFrame([("ieva",), ("al",), ("",), (None,)], "n string")
     assert [r.c for r in names.select(given_channels(F.col("n")).alias("c")).collect()] == [["gram:ev", "gram:ie", "gram:va", "initial:e", "initial:i"], ["initial:a"], [""], [""]]
+
+
+def test_unwrapped(spark):
+    start = "https://github.com/a"
+    cases = {
+        None: None,
+        "": [],
+        start: [],
+        f"{start}/b-\nc_\nd": [f"{start}/bc_", f"{start}/b-c_", f"{start}/bc_d", f"{start}/b-c_d"],
+        f"{start}/b\nc": [],
+        f"{start}/" + "-\n".join("bcdefg"): [f"{start}/" + "".join(x + "-" * (k >> (4 - i) & 1) for i, x in enumerate("bcdef")) + "g" for k in range(32)],
+        f"{start}/" + "-\n".join("bcdefgh"): None,
+        f"{start}/" + "-\n".join("b" * 100_000): None,
+        f"{start}/" + "_\n".join("b" * 9): [f"{start}/" + "b_" * k for k in range(1, 9)] + [f"{start}/" + "b_" * 8 + "b"],
+        f"{start}/" + "_\n".join("b" * 33): None,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.u for r in rows.select("t", unwrapped(F.col("t")).alias("u")).collect()} == cases
