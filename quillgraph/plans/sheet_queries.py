@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions.given import given_channels, given_fit
 from quillgraph.functions.markup import emails_in_html, without_markup
 from quillgraph.functions.wraps import unwrapped
+from quillgraph.operators.readings import confirmed_readings
 from quillgraph.plans.derived import derived_query
 
 _GIVEN = "regexp_replace(lower(given), '[^a-z]', '', 'g')"
@@ -87,3 +88,15 @@ def f33_wrapped_addresses(t):
         .otherwise(F.concat(F.lit("https://example.org/own-\n/r"), end))
     )
     return t["code"].select("rid", F.array_join(unwrapped(raw), " ").alias("candidates"))
+
+
+@derived_query(""", m AS (SELECT rid, rid // 40 AS doc, (rid // 4) % 10 AS k FROM code WHERE rid % 4 = 0 OR (rid % 4 = 1 AND (rid // 4) % 2 = 0))
+, w AS (SELECT *, rid % 4 = 1 OR (k % 2 = 0 AND rid + 1 IN (SELECT rid FROM m)) AS settled FROM m)
+SELECT doc, rid AS mention, 'https://github.com/owner/r' || k AS url, settled FROM w UNION ALL SELECT doc, rid, 'https://github.com/own-er/r' || k, false FROM w WHERE NOT settled""")
+def f34_confirmed_addresses(t):
+    """Readings of cut addresses, less those that the same document rules out by writing another in full."""
+    k = F.expr("rid div 4 % 10")
+    cut = F.concat(F.lit("https://github.com/own-\ner/r"), k)
+    whole = F.concat(F.lit("https://github.com/owner/r"), k)
+    some = t["code"].where("rid % 4 = 0 OR (rid % 4 = 1 AND rid div 4 % 2 = 0)")
+    return confirmed_readings(some.select(F.expr("rid div 40").alias("doc"), F.col("rid").alias("mention"), F.when(F.col("rid") % 4 == 0, cut).otherwise(whole).alias("raw")))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions.given import given_channels, given_fit
 from quillgraph.functions.markup import emails_in_html, without_markup
 from quillgraph.functions.wraps import unwrapped
+from quillgraph.operators.readings import confirmed_readings
 
 
 def test_markup(spark):
@@ -51,3 +52,13 @@ def test_unwrapped(spark):
     }
     rows = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r.t: r.u for r in rows.select("t", unwrapped(F.col("t")).alias("u")).collect()} == cases
+
+
+def test_confirmed_readings(spark):
+    site = "https://github.com/"
+    rows = [(1, 1, f"{site}o/a-\nb"), (1, 2, f"{site}O/A-B."), (2, 3, f"{site}o/a-\nb"), (None, 4, f"{site}o/c-\nd"), (None, 5, f"{site}o/cd"), (1, 6, None), (1, 2, f"{site}O/A-B.")]
+    found = confirmed_readings(spark.createDataFrame(rows, "doc int, mention int, raw string")).collect()
+    expected = {(1, 1, f"{site}o/a-b", True), (1, 2, f"{site}O/A-B", True), (None, 5, f"{site}o/cd", True)}
+    expected |= {(2, 3, f"{site}o/{x}", False) for x in ("ab", "a-b")} | {(None, 4, f"{site}o/{x}", False) for x in ("cd", "c-d")}
+    assert {tuple(r) for r in found} == expected and len(found) == len(expected)
+    assert confirmed_readings(spark.createDataFrame([], "doc int, mention int, raw string")).count() == 0
