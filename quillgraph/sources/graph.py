@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 NAMES = ["publications", "persons", "authorship", "repositories", "repo_pubs", "departments", "organizations", "pub_depts"]
 
 
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The graph's tables; each is a projection that reads only the columns it needs."""
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("orders", "customer", "supplier", "part", "lineitem", "nation", "region")}
