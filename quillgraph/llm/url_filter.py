@@ -9,6 +9,7 @@ tells whether it is listed: no lookup joins, and no verdict is a guess.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,10 @@ RULES = [
 ]
 #: Hosts that are blocked with all their subdomains.
 LISTED = ["ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org"]
-#: A level is a constant of the plan: this many bits (1 MB) at most. A list that needs more is looked up by a join, as exactly.
+#: A level is a constant of the plan: this many bits (1 MB) or about as many. A list that needs more is parted by hash, each part with a cascade of its own.
 MOST_BITS = 8_388_608
+#: Parts whose cascades are in one plan; more take more passes over the pages.
+TOGETHER = 4
 MOST_HASHES, BITS_A_KEY = 10, 8
 
 
@@ -47,10 +50,6 @@ def _suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
 
 
-class Oversized(ValueError):
-    """A level would have more than MOST_BITS bits."""
-
-
 def bits_a_key(keys: int, others: int) -> int:
     """So many bits for each key that about as many others pass by mistake as there are keys."""
     return max(BITS_A_KEY, math.ceil(1.6 * math.log2(max(2, others / max(1, keys)))))
@@ -63,29 +62,26 @@ class Level:
         self.level, n = level, keys.count()
         each = bits_a_key(n, others)
         self.bits, self.hashes = 64 * math.ceil(max(1, n) * each / 64), min(MOST_HASHES, round(each * math.log(2)))
-        if self.bits > MOST_BITS:
-            raise Oversized(f"{n} keys need {self.bits} bits")
         at = F.explode(F.array(*[self._position(F.col("key"), k) for k in range(self.hashes)])).alias("at")
         words = keys.select(at).groupBy(F.expr("at div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("m"))
         found = {r["w"]: r["m"] for r in words.collect()}
-        self.words = [found.get(w, 0) for w in range(self.bits // 64)]
+        # as text, which the optimizer turns into one constant
+        self.words = F.split(F.lit(" ".join(str(found.get(w, 0)) for w in range(self.bits // 64))), " ").cast("array<bigint>")
 
     def _position(self, key: Column, k: int) -> Column:
         return F.pmod(F.xxhash64(F.lit(self.level), F.lit(k), key), F.lit(self.bits))
 
     def has(self, key: Column) -> Column:
-        words, found = F.lit(self.words), F.lit(True)
-        for k in range(self.hashes):
-            at = self._position(key, k)
-            found = found & (F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1)
-        return F.coalesce(found, F.lit(False))
+        at = F.array(*[self._position(key, k) for k in range(self.hashes)])
+        bit = lambda x: F.getbit(F.get(self.words, F.shiftright(x, 6).cast("int")), F.pmod(x, F.lit(64)).cast("int")) == 1
+        return F.coalesce(F.forall(at, bit), F.lit(False))
 
 
 def cascade(universe: DataFrame, listed: DataFrame) -> list[Level]:
     """The levels for keys ``key`` of the corpus and of the list. Both may hold repeated and NULL keys.
 
     Only while it is built do keys meet the list in a join. The first level is sized by both counts, so that what passes it by
-    mistake is about as much as the list however large the corpus. Raises Oversized if a level is over MOST_BITS.
+    mistake is about as much as the list however large the corpus.
     """
     listed = checkpoint(listed.select("key").where("key IS NOT NULL").distinct())
     others = checkpoint(universe.select("key").where("key IS NOT NULL").distinct().join(listed, "key", "left_anti"))
@@ -106,26 +102,46 @@ def member(levels: list[Level], key: Column) -> Column:
     return out
 
 
-def judge(pages: DataFrame, listed: list[str] | DataFrame, rules: list[tuple[str, str, str]], key: str = "page_id", url: str = "url") -> DataFrame:
+def _in_parts(of: dict[int, list[Level]], parts: int) -> Callable[[Column], Column]:
+    def test(key: Column) -> Column:
+        found = F.lit(False)
+        for p, levels in of.items():
+            found = F.when(F.pmod(F.hash(key), F.lit(parts)) == p, member(levels, key)).otherwise(found)
+        return found
+
+    return test
+
+
+def judge(pages: DataFrame, listed: list[str] | DataFrame, rules: list[tuple[str, str, str]], key: str = "page_id", url: str = "url", most: int | None = None) -> DataFrame:
     """``(key, host, path, rule, verdict)`` for every row of pages.
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest of those that fit
     gives the verdict. Without one, a page is blocked if its host or a domain above it is listed.
     NULL urls and urls without ``://`` have an empty host and path, fit no rule and are allowed unless
     the empty host is listed. Keys may be NULL or repeat; other columns are not read. Empty input, empty result. Urls may have
-    any length. listed: hosts, or rows ``key``; one too long for the cascade's levels is met by a join of the corpus's distinct hosts.
+    any length. listed: hosts, or rows ``key``; a list beyond ``most`` bits (MOST_BITS) goes through as many cascades as it needs, a few in each pass.
     """
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(key), host.alias("host"), path.alias("path"))
     universe = rows.select("host").distinct().select(F.explode(_suffixes(F.col("host"))).alias("key"))
-    keys = listed if isinstance(listed, DataFrame) else pages.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, listed)).cast("array<string>")).alias("key"))
-    try:
+    if isinstance(listed, DataFrame):
+        keys = checkpoint(listed.select("key").where("key IS NOT NULL").distinct())
+    else:
+        keys = pages.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, listed)).cast("array<string>")).alias("key"))
+    n, others = (keys.count(), universe.count()) if isinstance(listed, DataFrame) else (len(listed), 0)
+    parts = -(-n * bits_a_key(n, others) // (most or MOST_BITS)) or 1
+    blocked = F.lit(False)
+    if parts == 1:
         levels = cascade(universe, keys)
         blocked = F.exists(_suffixes(F.col("host")), lambda k: member(levels, k))
-    except Oversized:
-        hosts = rows.select("host").distinct().select("host", F.explode(_suffixes(F.col("host"))).alias("key"))
-        rows = rows.join(hosts.join(keys, "key", "left_semi").select("host").distinct().withColumn("listed", F.lit(True)), "host", "left")
-        blocked = F.coalesce("listed", F.lit(False))
+    else:
+        part = F.pmod(F.hash("key"), F.lit(parts))
+        universe, keys = (checkpoint(x.withColumn("part", part)) for x in (universe.distinct(), keys))
+        rows = rows.withColumn("listed", F.lit(False))
+        for first in range(0, parts, TOGETHER):
+            of = {p: cascade(universe.where(F.col("part") == p), keys.where(F.col("part") == p)) for p in range(first, min(first + TOGETHER, parts))}
+            rows = checkpoint(rows.withColumn("listed", F.col("listed") | F.exists(_suffixes(F.col("host")), _in_parts(of, parts))))
+        blocked = F.col("listed")
 
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for says, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r)):
