@@ -30,8 +30,8 @@ def member_pairs(members: DataFrame, group: str, member: str, cap: int | None, c
     return a.join(b, [group, "_part"]).where("a < b").drop("_part")
 
 
-def pair_weights(members: DataFrame, group: str, member: str, cap: int) -> DataFrame:
-    """``(a, b, w)``: how many groups two members share."""
+def pair_weights(members: DataFrame, group: str, member: str, cap: int | None = None) -> DataFrame:
+    """``(a, b, w)``: how many groups two members share; groups of more than ``cap`` members, if given, do not count."""
     return member_pairs(members, group, member, cap).groupBy("a", "b").agg(F.count("*").alias("w"))
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators.components import checkpoint, connected_components
 from quillgraph.operators.edges import both_ways
+from quillgraph.operators.skew import join_counted
 
 
 def key_links(rows: DataFrame, entity: str, key: str) -> DataFrame:
@@ -58,33 +58,26 @@ def identity_groups(entities: DataFrame, entity: str, keys: list[str]) -> DataFr
     return entities.select(entity).distinct().join(found, F.col(entity) == F.col("node"), "left").select(entity, F.coalesce("group", entity).alias("group"))
 
 
-def split_conflicts(members: DataFrame, group: str, entity: str, identities: list[str], most: int = 10_000) -> DataFrame:
+def split_conflicts(members: DataFrame, group: str, entity: str, identities: list[str]) -> DataFrame:
     """``(group, entity, part)``: a group that holds two values of an identity is split by it.
 
-    Identities are tried in order. Members without a value follow those with the most members (ties: the
-    smallest value); a part is named by its smallest member. A group is entities that were linked
-    one by one; above ``most`` members it is refused, not cut.
+    Identities are tried in order, each on the parts that the one before left. Members without a value follow those with the
+    most members (ties: the smallest value); a part is named by its smallest member. An entity has one row. Values are counted a part
+    and members labelled by joins in which large parts are dealt out, so a group may have any size. A NULL group is a group.
     """
-    if not members.groupBy(group).count().where(F.col("count") > most).isEmpty():
-        raise ValueError(f"a group has more than {most} members")
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        def parts(rows: pd.DataFrame, at: int) -> list[pd.DataFrame]:
-            if at == len(identities):
-                return [rows]
-            values = rows[identities[at]].dropna().value_counts()
-            if len(values) < 2:
-                return parts(rows, at + 1)
-            main = min(values.index, key=lambda v: (-values[v], v))
-            label = rows[identities[at]].fillna(main)
-            return [p for _, r in rows.groupby(label) for p in parts(r, at + 1)]
-
-        out = [r.assign(part=r[entity].min()) for r in parts(pdf, 0)]
-        return pd.concat(out)[[group, entity, "part"]]
-
-    kinds = dict(members.dtypes)
-    schema = f"`{group}` {kinds[group]}, `{entity}` {kinds[entity]}, part {kinds[entity]}"
-    return members.select(group, entity, *identities).groupBy(group).applyInPandas(split, schema)
+    rows = checkpoint(members.select(F.struct(F.col(group)).alias("_g"), F.col(entity).alias("_e"), *identities).withColumn("_p", F.lit(0)))
+    for k, identity in enumerate([*identities, None]):  # the last round only names the parts
+        label = F.lit("") if identity is None else F.col(identity).cast("string")
+        each = rows.withColumn("_v", label).groupBy("_g", "_p", "_v").agg(F.count("*").alias("n"), F.min("_e").alias("low"))
+        value = F.when(F.col("_v").isNotNull(), F.struct((-F.col("n")).alias("n"), "_v"))
+        parts = checkpoint(each.groupBy("_g", "_p").agg(F.sum("n").alias("n"), F.count("_v").alias("values"), F.min(value).getField("_v").alias("main"), F.min("low").alias("low")))
+        if identity is None:
+            named = join_counted(rows, parts.select("_g", "_p", "n", "low"), ["_g", "_p"], "n")
+            return named.select(F.col(f"_g.{group}").alias(group), F.col("_e").alias(entity), F.col("low").alias("part"))
+        told = join_counted(rows, parts.select("_g", "_p", "n", "values", "main"), ["_g", "_p"], "n")
+        part = F.when(F.col("values") > 1, F.concat(F.lit("="), F.coalesce(label, "main"))).otherwise("")
+        rows = checkpoint(told.withColumn("_p", F.struct(F.col("_p"), part.alias(f"p{k}"))).select("_g", "_e", *identities, "_p"))
+    return rows
 
 
 def nearest_root(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:

@@ -81,7 +81,7 @@ def j14_surname_and_channel(t):
 SELECT DISTINCT a.k AS a, b.k AS b FROM d a JOIN d b ON a.key = b.key AND a.k < b.k""")
 def j15_fuzzy_names(spark, sf_dir):
     n = _t(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lower("n_name"), F.lit("land")).alias("n"))
-    found = blocking.channel_pairs(n, "n_nationkey", {"deletion": (text.deletion_keys(F.col("n")), 10_000)})
+    found = blocking.channel_pairs(n, "n_nationkey", {"deletion": (text.deletion_keys(F.col("n")), None)})
     return blocking.with_sides(found, n, "n_nationkey", ["n"]).where(name_similarity("a_n", "b_n") >= 0.8).select("a", "b")
 
 

@@ -64,7 +64,7 @@ signals AS (SELECT a, b, CAST(w AS DOUBLE) AS w, 0 AS k, 'publication' AS name F
 @query(_SIGNALS + "SELECT a, b, round(sum(w), 6) AS w, string_agg(DISTINCT name, ',' ORDER BY name DESC) AS via FROM signals GROUP BY 1, 2")
 def a04_repository_signals(t):
     groups = t["repositories"].select(F.concat_ws("|", "language", "stars").alias("g"), "rid")
-    found = edges.combine_signals({"publication": edges.pair_weights(t["repo_pubs"], "pid", "rid", 60), "language": edges.shared_weights(groups, "g", "rid")})
+    found = edges.combine_signals({"publication": edges.pair_weights(t["repo_pubs"], "pid", "rid"), "language": edges.shared_weights(groups, "g", "rid")})
     return found.select("a", "b", F.round("w", 6).alias("w"), F.array_join("via", ",").alias("via"))
 
 
@@ -152,7 +152,7 @@ def a14_role_map(t):
 @query(""", pd AS (SELECT DISTINCT pid, did FROM authorship JOIN persons USING (per))
 SELECT a.did AS a, b.did AS b, count(*) AS w FROM pd a JOIN pd b ON a.pid = b.pid AND a.did < b.did GROUP BY 1, 2""")
 def a15_department_pairs(t):
-    return edges.pair_weights(t["authorship"].join(t["persons"], "per").select("pid", "did"), "pid", "did", 60)
+    return edges.pair_weights(t["authorship"].join(t["persons"], "per").select("pid", "did"), "pid", "did")
 
 
 @query("""SELECT 'persons' AS kind, count(*) AS n FROM persons UNION ALL SELECT 'internal', count(*) FROM persons WHERE internal

@@ -170,3 +170,10 @@ def test_nearest_root_walks_until_nothing_is_left(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long")
     found = {r.node: r.dist for r in groups.nearest_root(e, spark.createDataFrame([(0,)], "node long")).collect()}
     assert found == {k: k for k in range(21)}
+
+
+def test_split_conflicts_of_a_large_group(spark):
+    rows = spark.range(30_001).selectExpr("cast(null as string) AS g", "id AS e", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 3 = 1 THEN 'b' END AS orcid", "CASE WHEN id < 3 THEN cast(id as string) END AS staff")
+    found = groups.split_conflicts(rows, "g", "e", ["orcid", "staff"]).groupBy("g", "part").count().collect()
+    # those without an orcid go to 'a' (of equal counts the smaller value); of that part two have a staff id, 0 and 2
+    assert {(r["g"], r["part"], r["count"]) for r in found} == {(None, 0, 20_000), (None, 1, 10_000), (None, 2, 1)}
