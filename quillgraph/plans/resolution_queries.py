@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillgraph.functions.name_forms import forms
 from quillgraph.operators.closest import placed_titles
 from quillgraph.operators.constrained import constrained_components
+from quillgraph.operators.cover import greedy_cover
+from quillgraph.operators.name_blocks import block_pairs
 from quillgraph.operators.unit_names import units_named
 from quillgraph.plans.registry import query
 from quillgraph.sources.graph import read
@@ -56,3 +59,38 @@ def g02_constrained_components(spark, sf_dir):
     pairs = one.select(F.col("l_orderkey").alias("rank"), F.col("l_partkey").alias("a"), "l_quantity").join(two.select(F.col("l_orderkey").alias("rank"), F.col("l_partkey").alias("b")), "rank")
     nodes, _ = constrained_components(automatic, pairs.where("l_quantity in (1, 2, 3)").select("rank", "a", "b"), pairs.where("l_quantity in (5, 6)").select("a", "b"))
     return nodes
+
+
+def people_named(spark, sf_dir):
+    """Persons ``per`` with a written name: customers, by digits of a hash of their key."""
+    h = lambda k, n: F.pmod(F.xxhash64(F.lit(k), "c_custkey"), F.lit(n))
+    of = lambda k, values: F.get(F.array(*[F.lit(v) for v in values]), h(k, len(values)).cast("int"))
+    head, tail = ["Iva", "Petr", "Smir", "Kuz", "Müll", "Garc", "Lo", "Sido", "Vasi", "Zhu", "Анто", "Бори"], ["nov", "ova", "er", "ía", "enko", "ski", "нов", "s", "chuk", "in"]
+    surname = F.concat(of("head", head), of("middle", ["", "le", "ra", "mi"]), of("tail", tail))
+    given = of("given", ["Anna", "Ann", "Ievgenii", "Evgenii", "Pyotr", "P.", "A.", "Мария", "Maria", "José", "Li", "", "", "I. P."])
+    written = [
+        F.concat_ws(" ", given, surname), F.concat_ws(", ", surname, given), F.concat_ws(" ", surname, given), F.concat(F.lit("Prof. "), given, F.lit(" van der "), surname),
+        F.concat_ws(" ", given, F.concat(surname, F.lit("-"), of("second", head), F.lit("ez"))), F.upper(F.concat_ws(" ", given, surname)), surname,
+    ]
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("per"), F.get(F.array(*written), h("style", len(written)).cast("int")).alias("name"))
+
+
+@query()
+def f17_name_forms(spark, sf_dir):
+    """The readings of each person's written name."""
+    rows = people_named(spark, sf_dir).select("per", F.explode(forms(F.col("name"))).alias("f"))
+    return rows.select("per", "f.*")
+
+
+@query()
+def j14_name_blocks(spark, sf_dir):
+    """Persons whose written names can mean the same."""
+    return block_pairs(people_named(spark, sf_dir), "per", "name")
+
+
+@query()
+def a63_greedy_cover(spark, sf_dir):
+    """Every customer of cheap small orders once, under few parts."""
+    items = read(spark, sf_dir, "lineitem").where("l_discount >= 0.09 AND l_quantity <= 8").select("l_orderkey", "l_partkey")
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return greedy_cover(items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")), "l_partkey", "o_custkey")
