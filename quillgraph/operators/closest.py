@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from fractions import Fraction
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.operators.checkpoints import checkpoint
+from quillgraph.operators.checkpoints import checkpoint, shared_folder
 from quillgraph.operators.skew import join_dealt
 
 #: Ratio of a close title.
@@ -85,12 +86,15 @@ def closest_titles(queries: DataFrame, key: str, query: str, titles: DataFrame,
                     yield pa.RecordBatch.from_pydict({"q": [q] * len(n), "n": n, "k": k, "piece": piece}, schema=schema)
 
     open_ = texts.join(exact.select("q"), "q", "left_anti")
-    left = open_.mapInArrow(slide, "q string, n int, k int, piece string")
+    # Written, so that the planner knows how large it is: a title has thousands of places for pieces.
+    folder = f"{shared_folder(queries.sparkSession)}/windows-{uuid.uuid4().hex}"
+    open_.mapInArrow(slide, "q string, n int, k int, piece string").write.parquet(folder)
+    left = queries.sparkSession.read.parquet(folder)
     right = known.mapInArrow(cut, "title string, n int, k int, piece string")
     # A piece that very many titles share is one row of its own and does not meet the queries in one task.
     shared = left.select("n", "k", "piece").distinct()
     met = join_dealt(right, shared, ["n", "k", "piece"], ["title"])
-    pairs = checkpoint(left.repartition("n", "k", "piece").join(met, ["n", "k", "piece"]).select("q", "title").distinct())
+    pairs = checkpoint(left.join(met, ["n", "k", "piece"]).select("q", "title").distinct())
 
     @F.pandas_udf("double")
     def ratio(t: pd.Series, q: pd.Series) -> pd.Series:
