@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillgraph.functions.models import PairModel
 from quillgraph.functions.name_forms import forms
+from quillgraph.operators import pair_model
 from quillgraph.operators.closest import placed_titles
 from quillgraph.operators.constrained import constrained_components
 from quillgraph.operators.cover import greedy_cover
@@ -94,3 +96,35 @@ def a63_greedy_cover(spark, sf_dir):
     items = read(spark, sf_dir, "lineitem").where("l_discount >= 0.09 AND l_quantity <= 8").select("l_orderkey", "l_partkey")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return greedy_cover(items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")), "l_partkey", "o_custkey")
+
+
+#: Weights of our own; a fitted model is read from a file by PairModel.read.
+_WEIGHTS = {"strong_name": 2.0, "compatible_name": 1.0, "same_orcid": 4.0, "shared_coauthors": 1.5, "shared_departments": 0.5, "rare_x_name": 1.0, "remaining_long_token_conflict": -3.0, "given_full_conflicts": -2.0, "surname_similarity": 1.0, "initials_only_pair": -1.0}
+_MODEL = PairModel(-4.0, 0.13, 0.94, {name: (0.0, 1.0, _WEIGHTS.get(name, 0.0)) for name in pair_model.FEATURES})
+
+
+def compared_people(spark, sf_dir):
+    """Candidate pairs by name, with all evidence: works are a part and a tenth of its quantities, persons the customers who bought it."""
+    k = F.col("c_custkey")
+    known = read(spark, sf_dir, "customer").select(
+        k.alias("per"), F.when(k % 4 == 0, F.format_string("0000-0001-0000-%04d", k % 40)).alias("orcid"), F.when(k % 9 == 0, (k % 27).cast("string")).alias("staff"),
+        F.when(k % 3 == 0, "trusted").when(k % 3 == 1, "display").alias("status"), (k % 5 == 0).alias("fallback"),
+    )
+    people = people_named(spark, sf_dir).join(known, "per")
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") * 10 + F.col("l_quantity").cast("bigint") % 10).alias("pid"), F.date_format("l_shipdate", "yyyy").alias("field"))
+    bought = items.join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("per")), "l_orderkey")
+    units = read(spark, sf_dir, "customer").select(k.alias("per"), F.col("c_nationkey").alias("did"))
+    found = pair_model.evidence(block_pairs(people, "per", "name"), people, bought, units, bought.select("per", "field"))
+    return pair_model.with_names(found)
+
+
+@query()
+def f46_f47_f48_pair_features(spark, sf_dir):
+    """All 56 features of every candidate pair."""
+    return pair_model.pair_features(compared_people(spark, sf_dir))
+
+
+@query()
+def f50_pair_routes(spark, sf_dir):
+    """What a model, identifiers and names decide about every candidate pair, and by which rule."""
+    return pair_model.resolve(compared_people(spark, sf_dir), _MODEL)
