@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.models import PairModel
 from quillgraph.functions.name_forms import forms
-from quillgraph.operators import pair_model
+from quillgraph.functions.to_cyrillic import cyrillic
+from quillgraph.operators import pair_model, version_pairs
+from quillgraph.operators.blocking import channel_pairs
+from quillgraph.operators.checkpoints import checkpoint
 from quillgraph.operators.closest import placed_titles
 from quillgraph.operators.constrained import constrained_components
 from quillgraph.operators.cover import greedy_cover
@@ -128,3 +131,52 @@ def f46_f47_f48_pair_features(spark, sf_dir):
 def f50_pair_routes(spark, sf_dir):
     """What a model, identifiers and names decide about every candidate pair, and by which rule."""
     return pair_model.resolve(compared_people(spark, sf_dir), _MODEL)
+
+
+#: How a title may name another record's title; picked by a hash of the text.
+_FORMS = ["{}", "{}", "Correction to: {}", "{} (Erratum)", "Front Cover: {}", "{}. Part II", "{}. Part III", "{}: a study", "Data from: {}", "Retracted: {}", "{} (Adv. Mater. 13/2022)", "Publisher’s Note: {}"]
+
+
+def titled_records(spark, sf_dir):
+    """Records of documents: the title is what a text begins with, in a form by a hash; near copies have titles that are close."""
+    d = read(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    h = lambda k, n: F.pmod(F.xxhash64(F.lit(k), "text", "doc_id"), F.lit(n)).cast("int")
+    of = lambda k, values: F.get(F.array(*[F.lit(v) for v in values]), h(k, len(values)))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    start = F.array_join(F.slice(words, 1, 9), " ")
+    title = F.get(F.array(*[F.concat(*[F.lit(p) if p else start for p in f.replace("{}", "|{}|").replace("{}", "").split("|")]) for f in _FORMS]), h("form", len(_FORMS)))
+    doi = F.concat(F.lit("10.1000/"), F.col("doc_id").cast("string"), of("tag", ["", "", ".2", ".v3"]))
+    return d.select(
+        F.col("doc_id").alias("id"), title.alias("title"), of("type", ["article", "article", "article", "preprint", "dataset", None]).alias("type"), F.when(h("doi", 3) > 0, doi).alias("doi"),
+        of("venue", ["arXiv", "Journal of Texts", "Proceedings of Texts", None, "Письма", "Journal of Texts"]).alias("venue"), F.lit(None).cast("string").alias("venue_type"),
+        F.when(h("dated", 4) > 0, F.date_add(F.lit("2015-01-01").cast("date"), h("day", 3000))).alias("date"), (h("year", 9) + 2015).alias("year"), F.array_join(F.slice(words, 10, 40), " ").alias("abstract"),
+        F.array((F.xxhash64(start) % 50).cast("string"), F.col("source"), h("author", 5).cast("string")).alias("authors"),
+    )
+
+
+def _version_candidates(spark, sf_dir):
+    """All buckets of pairs that share a rare run of two title words (in at most 45 records, as common ones say nothing)."""
+    records = checkpoint(version_pairs.read_records(titled_records(spark, sf_dir)))
+    t = F.split("t.folded", " ")
+    runs = F.when(F.size(t) > 1, F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat_ws(" ", F.element_at(t, i), F.element_at(t, i + 1)))).otherwise(F.array("t.folded"))
+    return version_pairs.classified(channel_pairs(records, "id", {"words": (runs, 45)}), records)
+
+
+@query()
+def f26_f27_f28_f30_buckets(spark, sf_dir):
+    """Notices, covers, series, deposits and versions among pairs of records with close titles."""
+    return _version_candidates(spark, sf_dir)
+
+
+@query()
+def f31_medium_routes(spark, sf_dir):
+    """Doubtful pairs by their evidence, a verdict table and their venues."""
+    found = checkpoint(_version_candidates(spark, sf_dir))
+    verdicts = found.where("(a + b) % 3 < 2").select("a", "b", ((F.col("a") + F.col("b")) % 3 == 0).alias("same_work"))
+    return version_pairs.routed(found, verdicts).select("a", "b", "bucket", "route")
+
+
+@query()
+def f15_cyrillic_names(spark, sf_dir):
+    """Written names in Cyrillic."""
+    return people_named(spark, sf_dir).select("per", "name", cyrillic("name").alias("cyrillic"))
