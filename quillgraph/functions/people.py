@@ -54,3 +54,19 @@ def group_name(c: Column) -> Column:
     """A group's name from its title: lower case letters, digits and single dashes; NULL if none is left or it is over 40 long."""
     name = F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "-"), "^-|-$", "")
     return F.when((name != "") & (F.length(name) <= 40), name)
+
+
+# Words that name a group or an event, and addresses; accounts of tools.
+NO_PERSON_SLOT = r"(?i)\b(?:association|conference|proceedings|workshop|committee|consortium|collaborat\w*|society)\b|\S+@\S+|\bhttps?://|\bwww\."
+TOOL_LOGIN = r"(?i)\[bot\]$|^dependabot|^github-actions|^renovate|^web-flow$"
+
+
+def no_person_slot(name: Column) -> Column:
+    """Whether an author slot holds a group, an event or an address; false for NULL."""
+    return F.coalesce(name.rlike(NO_PERSON_SLOT), F.lit(False))
+
+
+def personal_account(login: Column, kind: Column) -> Column:
+    """Whether an account is a person's: it has a login that is no tool's, and its kind is not known or user. False for NULL logins."""
+    own = (login != "") & ~login.rlike(TOOL_LOGIN)
+    return F.coalesce(own & (F.lower(F.coalesce(kind, F.lit("user"))) == "user"), F.lit(False))

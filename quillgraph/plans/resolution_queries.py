@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.models import PairModel
 from quillgraph.functions.name_forms import forms
+from quillgraph.functions.names import name_similarity
+from quillgraph.functions.people import no_person_slot, personal_account
+from quillgraph.functions.text import deletion_keys
 from quillgraph.functions.to_cyrillic import cyrillic
 from quillgraph.operators import pair_model, version_pairs
 from quillgraph.operators.blocking import channel_pairs
@@ -180,3 +183,31 @@ def f31_medium_routes(spark, sf_dir):
 def f15_cyrillic_names(spark, sf_dir):
     """Written names in Cyrillic."""
     return people_named(spark, sf_dir).select("per", "name", cyrillic("name").alias("cyrillic"))
+
+
+@query(r"""SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)\b(?:association|conference|proceedings|workshop|committee|consortium|collaborat\w*|society)\b|\S+@\S+|\bhttps?://|\bwww\.')""")
+def p02_no_person_slots(spark, sf_dir):
+    """Texts that name a group, an event or an address, as author slots do."""
+    return read(spark, sf_dir, "documents").where(no_person_slot(F.col("text"))).select("doc_id")
+
+
+_ACCOUNTS = r"""SELECT page_id, CASE page_id % 7 WHEN 0 THEN concat('dependabot-', x) WHEN 1 THEN concat(x, '[bot]') WHEN 2 THEN 'web-flow' WHEN 3 THEN concat('Renovate', x) ELSE x END AS login,
+CASE page_id % 4 WHEN 0 THEN 'Organization' WHEN 1 THEN 'user' WHEN 2 THEN 'User' END AS kind FROM (SELECT page_id, regexp_extract(url, '([^/?#]*)[/?#]*$', 1) AS x FROM {pages}) AS p"""
+
+
+@query(f"""WITH a AS ({_ACCOUNTS.format(pages="pages")}) SELECT page_id, login FROM a WHERE login <> '' AND NOT regexp_matches(login, '(?i)\\[bot\\]$|^dependabot|^github-actions|^renovate|^web-flow$') AND lower(coalesce(kind, 'user')) = 'user'""")
+def p18_personal_accounts(spark, sf_dir):
+    """Accounts of persons: no tools, no organisations. Logins are the last parts of addresses."""
+    accounts = spark.sql(_ACCOUNTS, pages=read(spark, sf_dir, "pages"))
+    return accounts.where(personal_account(F.col("login"), F.col("kind"))).select("page_id", "login")
+
+
+@query()
+def j15_fuzzy_surnames(spark, sf_dir):
+    """Different surnames of all readings that are one letter apart or so, with the persons of each; every surname is compared once, however many bear it."""
+    f = people_named(spark, sf_dir).select("per", F.explode(forms(F.col("name"))).alias("f"))
+    names = checkpoint(f.groupBy(F.col("f.surname").alias("surname")).agg(F.count_distinct("per").alias("n")))
+    found = channel_pairs(names, "surname", {"deletion": (deletion_keys(F.col("surname")), None)})
+    close = found.where(name_similarity("a", "b") >= 0.8).select("a", "b")
+    n = lambda end: names.select(F.col("surname").alias(end), F.col("n").alias(f"n_{end}"))
+    return close.join(n("a"), "a").join(n("b"), "b").select("a", "b", "n_a", "n_b")
