@@ -10,7 +10,7 @@ from quillgraph.functions.names import name_similarity
 from quillgraph.functions.people import no_person_slot, personal_account
 from quillgraph.functions.text import deletion_keys
 from quillgraph.functions.to_cyrillic import cyrillic
-from quillgraph.operators import pair_model, version_pairs
+from quillgraph.operators import account_match, pair_model, version_pairs
 from quillgraph.operators.blocking import channel_pairs
 from quillgraph.operators.checkpoints import checkpoint
 from quillgraph.operators.closest import placed_titles
@@ -211,3 +211,23 @@ def j15_fuzzy_surnames(spark, sf_dir):
     close = found.where(name_similarity("a", "b") >= 0.8).select("a", "b")
     n = lambda end: names.select(F.col("surname").alias(end), F.col("n").alias(f"n_{end}"))
     return close.join(n("a"), "a").join(n("b"), "b").select("a", "b", "n_a", "n_b")
+
+
+@query()
+def f43_f44_f45_account_matches(spark, sf_dir):
+    """An account for each person, held against all persons whose names can mean the same: signals, score, decision."""
+    people = people_named(spark, sf_dir)
+    h = lambda k, n: F.pmod(F.xxhash64(F.lit(k), "per"), F.lit(n))
+    forms_of = people.select("per", F.explode(forms(F.col("name"))).alias("f")).groupBy("per").agg(F.array_sort(F.collect_set("f.surname")).alias("surnames"))
+    people = people.join(forms_of, "per", "left").withColumn("email", F.when(h("mail", 3) > 0, F.concat(F.lit("p"), h("box", 40).cast("string"), F.lit("@example.org"))))
+    words = F.split(F.regexp_replace("name", ",", " "), r"\s+")
+    accounts = people.select(
+        F.col("per").alias("account"), F.when(h("login", 2) == 0, F.element_at("surnames", 1)).otherwise(F.concat(F.lit("user"), F.col("per").cast("string"))).alias("login"), F.array(F.array_join(F.reverse(words), " ")).alias("names"),
+        F.array_compact(F.array(F.when(h("shown", 2) == 0, F.col("email")))).alias("emails"), F.when(h("text", 4) == 0, "Example University").alias("profile"), (h("owner", 9) == 0).alias("owner"), (h("org", 7) == 0).alias("home_org"),
+    )
+    authors = people.select(F.col("per").alias("author"), F.array("name").alias("trusted"), F.array("name", F.array_join(F.slice(words, 1, 2), " ")).alias("others"), "surnames", F.array_compact(F.array("email")).alias("known_emails"))
+    pairs = block_pairs(people, "per", "name")
+    pairs = pairs.toDF("account", "author").union(pairs.toDF("author", "account").select("account", "author")).union(people.select("per", "per"))
+    pairs = pairs.join(accounts, "account").join(authors, "author").withColumn("bridged", F.pmod(F.xxhash64("account", "author"), F.lit(3)) == 0)
+    found = account_match.one_each(checkpoint(account_match.matched(pairs, "@example.org", r"(?i)\bexample university\b")))
+    return found.select("account", "author", F.array_join("signals", ",").alias("signals"), "score", "decision", "confidence", "hold_reason")
