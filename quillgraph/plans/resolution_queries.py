@@ -16,6 +16,7 @@ from quillgraph.operators.checkpoints import checkpoint
 from quillgraph.operators.closest import placed_titles
 from quillgraph.operators.constrained import constrained_components
 from quillgraph.operators.cover import greedy_cover
+from quillgraph.operators.grants import distinct_grants
 from quillgraph.operators.name_blocks import block_pairs
 from quillgraph.operators.unit_names import units_named
 from quillgraph.plans.registry import query
@@ -231,3 +232,18 @@ def f43_f44_f45_account_matches(spark, sf_dir):
     pairs = pairs.join(accounts, "account").join(authors, "author").withColumn("bridged", F.pmod(F.xxhash64("account", "author"), F.lit(3)) == 0)
     found = account_match.one_each(checkpoint(account_match.matched(pairs, "@example.org", r"(?i)\bexample university\b")))
     return found.select("account", "author", F.array_join("signals", ",").alias("signals"), "score", "decision", "confidence", "hold_reason")
+
+
+_FUNDING = """SELECT l_orderkey AS pid, l_linenumber AS position, concat('F', l_suppkey % 7) AS funder, CASE l_linenumber % 7 WHEN 0 THEN NULL WHEN 1 THEN concat('GR', l_partkey % 50, '-', l_suppkey % 10)
+WHEN 2 THEN concat('GR', l_partkey % 50, '-', l_suppkey % 10, '-', l_orderkey % 3) WHEN 3 THEN 'GR4' WHEN 4 THEN concat('No. R-', l_orderkey % 90, '-77') WHEN 5 THEN concat('R-', l_orderkey % 90) ELSE concat('H', l_partkey, '-') END AS grant_id FROM {lineitem}"""
+
+
+@query("WITH f AS (" + _FUNDING.format(lineitem="lineitem") + r"""), s AS (SELECT *, regexp_replace(replace(coalesce(grant_id, ''), 'No. ', ''), '[-./?]+$', '') AS said FROM f),
+k AS (SELECT *, CASE WHEN length(said) >= 5 AND NOT coalesce(grant_id LIKE '%-', false) THEN said END AS key FROM s), d AS (SELECT DISTINCT key FROM k WHERE key IS NOT NULL),
+x AS (SELECT a.key AS short, b.key FROM d a JOIN d b ON starts_with(b.key, a.key || '-')), w AS (SELECT short, CASE WHEN count(*) = 1 THEN min(key) END AS whole FROM x WHERE key NOT IN (SELECT short FROM x) GROUP BY short),
+g AS (SELECT k.*, CASE WHEN w.short IS NOT NULL THEN whole ELSE k.key END AS grant_key FROM k LEFT JOIN w ON w.short = k.key)
+SELECT pid, position, funder, grant_id, grant_key FROM (SELECT *, row_number() OVER (PARTITION BY pid, grant_key ORDER BY position, funder NULLS FIRST, grant_id NULLS FIRST) AS r FROM g WHERE grant_key IS NOT NULL) WHERE r = 1
+UNION ALL SELECT pid, position, funder, grant_id, grant_key FROM g WHERE grant_key IS NULL AND NOT EXISTS (SELECT 1 FROM g h WHERE h.pid = g.pid AND h.grant_key IS NOT NULL AND CASE WHEN g.said <> '' THEN starts_with(h.grant_key, g.said) ELSE h.funder = g.funder END)""")
+def f52_distinct_grants(spark, sf_dir):
+    """Each work's grants, once each: line items name funders and numbers, whole, cut short or as fragments."""
+    return distinct_grants(spark.sql(_FUNDING, lineitem=read(spark, sf_dir, "lineitem")))
