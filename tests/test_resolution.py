@@ -45,20 +45,20 @@ def test_units_named_equals_a_loop(spark, size):
 
 
 def test_parts_that_borrow_the_mark():
-    units, mark = NameFinder(["Institute of Optics", "Department of Physics"]), re.compile(r"\bitmo\b", re.IGNORECASE)
+    units, mark = NameFinder(["Institute of Optics", "Department of Physics"]), re.compile(r"\balma\b", re.IGNORECASE)
     near = lambda t: parts_near(t, mark, units)
-    assert near("Department of Physics, ITMO University, Saint Petersburg") == ["department of physics", "itmo university"]
-    assert "department of physics" not in near("Department of Physics, Other University, x, ITMO")
-    assert "faculty of x" in near("Faculty of X, Laboratory of Light, ITMO")  # across a sub-unit
-    assert "faculty of x" not in near("Faculty of X, Somewhere, ITMO")
-    assert "department of physics" in near("Department of Physics; ITMO") and near(None) == []
-    assert "department of physics" not in near("Department of Physics, Some Place; Rome, Italy; ITMO")
+    assert near("Department of Physics, ALMA University, Saint Petersburg") == ["department of physics", "alma university"]
+    assert "department of physics" not in near("Department of Physics, Other University, x, ALMA")
+    assert "faculty of x" in near("Faculty of X, Laboratory of Light, ALMA")  # across a sub-unit
+    assert "faculty of x" not in near("Faculty of X, Somewhere, ALMA")
+    assert "department of physics" in near("Department of Physics; ALMA") and near(None) == []
+    assert "department of physics" not in near("Department of Physics, Some Place; Rome, Italy; ALMA")
 
 
 def test_affiliated_units(spark):
-    people = [(1, ["Department of Physics, ITMO University"]), (2, ["Department of Physics, Other University"]), (3, ["School of Optics", None]), (4, None), (5, ["Department of Physics, University of Rome", "Lab, ITMO"])]
+    people = [(1, ["Department of Physics, ALMA University"]), (2, ["Department of Physics, Other University"]), (3, ["School of Optics", None]), (4, None), (5, ["Department of Physics, University of Rome", "Lab, ALMA"])]
     units = [(10, ["School of Optics", "Optics"], None), (11, ["Physics Department"], ["Department of Physics"]), (12, ["Optics"], [])]
-    found = affiliated_units(spark.createDataFrame(people, "per int, affs array<string>"), "per", "affs", spark.createDataFrame(units, "u int, names array<string>, near array<string>"), "u", "names", "near", r"\bitmo\b")
+    found = affiliated_units(spark.createDataFrame(people, "per int, affs array<string>"), "per", "affs", spark.createDataFrame(units, "u int, names array<string>, near array<string>"), "u", "names", "near", r"\balma\b")
     assert {tuple(r) for r in found.collect()} == {(1, 11), (3, 10)}
 
 
