@@ -34,6 +34,14 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def bits_jaccard(a: list[Column], b: list[Column]) -> Column:
+    """``jaccard`` of sets that are bits of longs, so that a pair costs a few instructions."""
+    both, either = F.lit(0), F.lit(0)
+    for x, y in zip(a, b, strict=True):
+        both, either = both + F.bit_count(x.bitwiseAND(y)), either + F.bit_count(x.bitwiseOR(y))
+    return F.when(either == 0, F.lit(0.0)).otherwise(both / either)
+
+
 def deletion_keys(c: Column, least: int = 5) -> Column:
     """A word with doubled letters as one, and each way to leave out one letter; of short words the word alone."""
     w = F.regexp_replace(F.lower(c), r"(.)\1", "$1")

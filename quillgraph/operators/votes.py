@@ -59,6 +59,19 @@ def dense_ids(rows: DataFrame, order: list[Column], to: str) -> DataFrame:
     return numbered.withColumn(to, F.col("_from") + F.col("_at") % 8589934592).select(*rows.columns, to)
 
 
+def bit_sets(rows: DataFrame, owner: str, member: str) -> tuple[DataFrame, list[str]]:
+    """``(owner, bits_0, bits_1, …)`` and the names of the latter: which of the members an owner has, 64 in each long.
+
+    Members are few, such as departments: each owner has a bit for every one. NULL is no member.
+    """
+    rows = checkpoint(rows.select(owner, member).distinct())
+    ids = checkpoint(dense_ids(rows.select(member).dropna().distinct(), [F.col(member)], "_k"))
+    columns = [f"bits_{w}" for w in range(max(1, -(-ids.count() // 64)))]
+    bit = F.expr("shiftleft(1L, cast(_k % 64 as int))")
+    each = [F.bit_or(F.when(F.col("_k").between(64 * w, 64 * w + 63), bit).otherwise(F.lit(0).cast("bigint"))).alias(c) for w, c in enumerate(columns)]
+    return rows.join(ids, member, "left").groupBy(owner).agg(*each), columns
+
+
 def scaled_rank(rows: DataFrame, value: str, to: str, digits: int = 3) -> DataFrame:
     """rows with ``to``: a value's position among the distinct values over their number, rounded.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import jaccard
+from quillgraph.functions.text import bits_jaccard
 from quillgraph.operators import edges, folds, health, votes
 from quillgraph.plans.registry import graph_query as query
 
@@ -298,9 +298,10 @@ _ARRAYS = """, s AS (SELECT per, list_sort(list(DISTINCT did)) AS d FROM (SELECT
 
 @query(_ARRAYS + "SELECT a.per AS a, b.per AS b, round(len(list_intersect(a.d, b.d)) / len(list_distinct(a.d || b.d)), 6) AS likeness FROM s a JOIN persons x ON x.per = a.per JOIN persons y ON y.did = x.did AND y.per > x.per JOIN s b ON b.per = y.per")
 def u06_jaccard(t):
-    s = t["authorship"].join(t["pub_depts"], "pid").groupBy("per").agg(F.collect_set("did").alias("d"))
-    pairs = edges.member_pairs(t["persons"].join(s, "per"), "did", "per", None, ["d"])
-    return pairs.select("a", "b", F.round(jaccard(F.col("a_d"), F.col("b_d")), 6).alias("likeness"))
+    s, bits = votes.bit_sets(t["authorship"].join(t["pub_depts"], "pid").select("per", "did"), "per", "did")
+    pairs = edges.member_pairs(t["persons"].join(s, "per"), "did", "per", None, bits)
+    sides = ([F.col(f"{end}_{c}") for c in bits] for end in "ab")
+    return pairs.select("a", "b", F.round(bits_jaccard(*sides), 6).alias("likeness"))
 
 
 @query("""SELECT per AS a, pid AS b, CASE WHEN r.position IS NULL THEN 'delete' WHEN l.position IS NULL THEN 'create' ELSE 'update' END AS action FROM
