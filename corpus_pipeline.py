@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import block_naming, language_id, minhash, packing, suffix_array
+from quillgraph.llm import block_naming, language_id, minhash, packing, simhash, suffix_array
 from quillgraph.llm.common import table
 from quillgraph.llm.text_sql import ascii_lower
 from quillgraph.operators.components import shared_folder
@@ -45,9 +45,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of near copies reach, that with the smallest doc_id (rows that share a doc_id stay or go together).
 
-    Near copies have a Jaccard similarity of five-word shingles of 0.8 or more, counted exactly.
+    Near copies have a Jaccard similarity of five-word shingles of 0.8 or more, counted exactly. Candidates are texts whose SimHash
+    fingerprints differ in four bits at most, and, as such texts often differ in more, those that share a MinHash band.
     """
-    kept = minhash.near_duplicates(docs).where("doc_id <=> class_id").select(F.col("doc_id").alias("k")).distinct()
+    kept = minhash.near_duplicates(docs, also=simhash.near_pairs(docs)).where("doc_id <=> class_id").select(F.col("doc_id").alias("k")).distinct()
     docs = docs.select(*COLUMNS)
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["k"]), "left_semi")
 

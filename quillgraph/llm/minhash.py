@@ -156,11 +156,22 @@ def _unlike(a: str, b: str) -> Column:
     return total
 
 
+#: Bits of a parity sketch.
+ODD = 4096
+
+
+def _parity(shingle_set: np.ndarray) -> np.ndarray:
+    """For each of ODD places, whether an odd number of shingles falls there, in longs: no more bits of two sets differ than shingles do."""
+    bits = np.bincount((shingle_set % ODD).astype(np.int64), minlength=ODD) & 1
+    return np.frombuffer(np.packbits(bits.astype(np.uint8)).tobytes(), np.int64)
+
+
 def _apart(placed: DataFrame, scored: DataFrame, sets: DataFrame, bands: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of a bucket that are in two classes, were not compared with its lead and can have the similarity.
 
     The lead is a vantage point: Jaccard distance is a metric, so two members whose distances from it differ by more than a
-    link's are no link; nor are two whose sketches are far apart. And what two members share is at most what either of them shares with any others at all. A pair
+    link's are no link; nor are two whose sketches are far apart, or whose parity sketches show more differing shingles than a link may have
+    (a bound that always holds). And what two members share is at most what either of them shares with any others at all. A pair
     comes from the first band that both have. Members outside the lead's class are dealt out in parts of PART, each of which
     meets the whole bucket.
     """
@@ -171,12 +182,13 @@ def _apart(placed: DataFrame, scored: DataFrame, sets: DataFrame, bands: DataFra
     reps = checkpoint(member.select("rep").distinct())
     shingle = sets.join(reps, "rep").select("rep", F.explode("x").alias("s"))
     own = shingle.groupBy("s").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
-    about = checkpoint(reps.join(bands, "rep").join(own, "rep", "left").select("rep", "bands", "sketch", F.coalesce("own", F.lit(0)).alias("own")))
+    about = reps.join(bands, "rep").join(sets.select("rep", "odd"), "rep").join(own, "rep", "left")
+    about = checkpoint(about.select("rep", "bands", "sketch", "odd", F.coalesce("own", F.lit(0)).alias("own")))
     member = member.withColumns({"a": F.least("lead", "rep"), "b": F.greatest("lead", "rep")}).join(scored.select("a", "b", "far"), ["a", "b"], "left").drop("a", "b", "lead")
     member = member.join(about, "rep").withColumn("most", F.col("size") - F.col("own")).where(F.col("most") >= similarity * F.col("size"))
-    member = checkpoint(member.select("h", "i", "main", "class", "rep", "size", "most", "far", "bands", "sketch"))
+    member = checkpoint(member.select("h", "i", "main", "class", "rep", "size", "most", "far", "bands", "sketch", "odd"))
     outside = member.where("class <> main").groupBy("h").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.count("*").alias("n"))
-    each = ("rep", "size", "class", "most", "far", "bands", "sketch")
+    each = ("rep", "size", "class", "most", "far", "bands", "sketch", "odd")
     a = join_counted(member.where("class <> main"), outside, ["h"], "n").select("h", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"{c}_a") for c in each])
     met = join_counted(member, member.groupBy("h").agg(F.count("*").alias("n")).join(outside.select("h", "parts"), "h"), ["h"], "n")
     b = met.select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "main", "i", *[F.col(c).alias(f"{c}_b") for c in each])
@@ -185,13 +197,15 @@ def _apart(placed: DataFrame, scored: DataFrame, sets: DataFrame, bands: DataFra
     able = F.least("most_a", "most_b") >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6
     near = F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= 1 - similarity + 1e-9, F.lit(True))
     near = near & (_unlike("sketch_a", "sketch_b") <= FAR)
+    differ = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    near = near & (differ <= (1 - similarity) / (1 + similarity) * (F.col("size_a") + F.col("size_b")) + 1e-6)
     before = F.lit(False)
     for k in range(BANDS - 1):
         before = before | ((F.col("i") > k) & (F.get("bands_a", F.lit(k)) == F.get("bands_b", F.lit(k))))
     return a.join(b, ["h", "part"]).where(once & fits & able & near & ~before).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS, also: DataFrame | None = None) -> DataFrame:
     """``(key, class_id)``: the smallest key that links reach; texts of that Jaccard similarity of shingles or more link.
 
     Texts with equal shingle sets are one representative. Representatives that share a signature band are
@@ -200,7 +214,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     bucket that no chain of links has joined yet, so a large group of near copies is not paired up in full and still loses no link. A
     link counts if the sets of 32-bit shingle hashes have that similarity. NULL counts as empty; texts without a
     word are one class. Rows with a NULL key take their representative's class (NULL if it has no key). Empty input, empty result.
-    docs is read several times.
+    docs is read several times. also: more candidates, as pairs of keys; a key that rows of several texts share stands for one of them.
     """
 
     def describe(texts: list) -> tuple:
@@ -215,7 +229,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     def contents(texts: list) -> tuple:
         sets = [np.unique(shingles(t or "", words)) for t in texts]
-        return None, [[_name(x) for x in sets], [x.astype(np.uint32).view(np.int32) for x in sets]]
+        return None, [[_name(x) for x in sets], [x.astype(np.uint32).view(np.int32) for x in sets], [_parity(x) for x in sets]]
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
     found = checkpoint(map_texts(rows, "t", "name binary, size int, bands array<bigint>, sketch array<bigint>", describe))
@@ -229,10 +243,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     lead = F.max_by(F.struct(F.col("rep").alias("lead"), F.col("size").alias("lead_size")), F.struct("weight", F.xxhash64("rep"), "rep"))
     leads = placed.groupBy("h").agg(lead.alias("v"), F.count("*").alias("n")).select("h", "v.*", "n")
     placed = checkpoint(join_counted(placed.select("rep", "size", "i", "h"), leads, ["h"], "n"))
-    named = placed.select("rep").distinct().join(one.select("rep", "name"), "rep")
+    met, ends = None, placed.select("rep")
+    if also is not None:
+        also = checkpoint(also.toDF("a", "b"))
+        ends = found.join(also.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi").select("key", "name")
+        of = checkpoint(join_counted(ends, one.select("name", "rep", "n"), ["name"], "n").groupBy("key").agg(F.min("rep").alias("rep")))
+        met = join_dealt(also, of.toDF("a", "x"), ["a"], ["b"])
+        met = join_dealt(met, of.toDF("b", "y"), ["b"], ["a"], counted=also).where("x <> y")
+        met = checkpoint(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        ends = placed.select("rep").union(met.select(F.explode(F.array("a", "b"))))
+    named = ends.distinct().join(one.select("rep", "name"), "rep")
     wanted = checkpoint(where_marked(rows.withColumn("row", F.col("key")), named.select(F.col("rep").alias("row"))))
-    sets = map_texts(wanted.select("key", "t"), "t", "name binary, x array<int>", contents)
-    sets = checkpoint(sets.join(named, (sets["key"] == named["rep"]) & (sets["name"] == named["name"])).select("rep", sets["name"], "x").dropDuplicates(["rep", "name"]).select("rep", "x"))
+    sets = map_texts(wanted.select("key", "t"), "t", "name binary, x array<int>, odd array<bigint>", contents)
+    sets = checkpoint(sets.join(named, (sets["key"] == named["rep"]) & (sets["name"] == named["name"])).select("rep", sets["name"], "x", "odd").dropDuplicates(["rep", "name"]).select("rep", "x", "odd"))
 
     def score(pairs: DataFrame) -> DataFrame:
         pairs = checkpoint(pairs.distinct())
@@ -243,7 +266,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         return checkpoint(sides.select("a", "b", (1 - F.col("shared") / F.col("all")).alias("far"), (F.col("shared") >= similarity * F.col("all")).alias("linked")))
 
     fits = F.least("size", "lead_size") >= similarity * F.greatest("size", "lead_size")
-    scored = score(placed.where((F.col("lead") != F.col("rep")) & fits).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")))
+    first = placed.where((F.col("lead") != F.col("rep")) & fits).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b"))
+    scored = score(first if met is None else first.union(met))
     led = scored.where("linked").select("a", "b")
     more = score(_apart(placed, scored, sets, one.select("rep", "bands", "sketch"), connected_components(led, "a", "b"), similarity))
     classes = connected_components(led.union(more.where("linked").select("a", "b")), "a", "b")

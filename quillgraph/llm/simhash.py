@@ -191,6 +191,14 @@ def near_links(unique: DataFrame, leaf: int = 2048) -> DataFrame:
     return shards.groupBy("band", "leaf").applyInPandas(_shard, f"a {kind}, b {kind}")
 
 
+def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
+    """``(a, b)``: edges between keys that span the links of at most DISTANCE bits; texts of one fingerprint are linked to the smallest key of them. NULL keys have none."""
+    fps = checkpoint(fingerprints(docs.where(F.col(key).isNotNull()), key, text, words))
+    unique = checkpoint(fps.groupBy("fp").agg(F.min(key).alias("rep"), F.count("*").alias("n")))
+    same = join_counted(fps, unique.where("n > 1"), ["fp"], "n").where(F.col("rep") < F.col(key)).select(F.col("rep").alias("a"), F.col(key).alias("b"))
+    return near_links(unique.select("fp", "rep")).union(same)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
     """``(key, fingerprint, component_id)`` for every row of docs.
 
