@@ -1,5 +1,6 @@
 """Pairs that are told by classes: expanded, they are the pairs."""
 
+from quillgraph.operators.name_blocks import block_classes, block_pairs
 from quillgraph.plans.record_queries import p15_version_siblings
 
 
@@ -10,3 +11,15 @@ def test_sibling_classes_expand_to_all_pairs(spark):
     assert {(a.pid, b.pid) for a in rows for b in rows if not a.longer and b.longer and a.class_id == b.class_id} == expected
     assert {r.pid: r.links for r in rows} == {p: sum(p in pair for pair in expected) for p in pids if any(p in pair for pair in expected)}
     assert len(rows) == len({r.pid for r in rows}) and all(r.class_id == min(s.pid for s in rows if s.stem == r.stem and not s.longer) for r in rows)
+
+
+def test_name_classes_expand_to_all_pairs(spark):
+    names = ["Anna Ivanova", "A. Ivanova", "Ivanova, Anna", "Ivanova", "Boris Ivanova", "Anna Ivanova", "Maria Petrova", "Petrova Maria", "李明", None, "Evgenii Ivanova", "Ievgenii Ivanova"]
+    people = spark.createDataFrame([*enumerate(names), (None, "Anna Ivanova")], "per long, name string")
+    rows = block_classes(people, "per", "name").collect()
+    members = {(r.per, r.reading) for r in rows if r.other is None}
+    links = {(r.reading, r.other) for r in rows if r.other is not None}
+    assert len(rows) == len(members) + len(links) and all(a < b for a, b in links)
+    found = {(x, y) for x, r in members for y, s in members if x < y and (r == s or (min(r, s), max(r, s)) in links)}
+    expected = {tuple(r) for r in block_pairs(people, "per", "name").collect()}
+    assert found == expected and (0, 5) in found and (0, 3) in found
