@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgraph.functions import titles
+from quillgraph.operators.checkpoints import checkpoint
 from quillgraph.plans.derived import derived_query, pick
 
 _STEM = "'study ' || CAST(pid - pid % 10 AS VARCHAR(12)) || ' of graphs'"
@@ -129,7 +130,7 @@ def g19_version_direction(t):
 @derived_query(_DIRECTED + """SELECT version, pid, CASE WHEN version % 13 = 0 OR pid % 13 = 0 THEN 'withdraw' WHEN version % 4 = 0 THEN 'reject' WHEN version % 4 = 1 THEN 'confirm' WHEN pid % 5 = 0 THEN 'keep' ELSE 'ask' END AS action FROM pl""")
 def g20_planned_edges(t):
     """What becomes of a candidate: gone with a deleted record, as answered, kept where it is live, else a question."""
-    d = _directed(t)
+    d = checkpoint(_directed(t))  # read three times
     works = t["publications"].select("pid")
     answers = d.where("version % 4 IN (0, 1)").select("version", "pid", F.when(F.col("version") % 4 == 0, "reject").otherwise("confirm").alias("answer")).distinct()
     live = d.where("pid % 5 = 0").select("version", "pid", F.lit(True).alias("live")).distinct()
