@@ -96,7 +96,10 @@ def published(program: Program, live_nodes: DataFrame, live_edges: DataFrame) ->
     edges = _flags(EDGE, live=_led(live_edges, want.aliases), wanted=want.edges, claimed=_led(program.claimed, want.aliases)).where("live OR wanted")
     ends = [F.when(F.col("rel") == rel, F.col(end)) for rel, end in program.owner_end.items()]
     checked = repoint(program.checked, want.aliases, "owner").groupBy("rel", "owner").agg(F.bool_and("complete").alias("complete"))
-    edges = edges.withColumn("owner", F.coalesce(*ends, F.lit(None).cast("string"))).join(checked, ["rel", "owner"], "left")
+    owner = F.coalesce(*ends, F.lit(None).cast("string"))
+    # edges of other relations have no owner: each gets a key of its own that meets nothing, so that they are dealt out and not all in one task
+    edges = edges.withColumns({"_owned": owner.isNotNull(), "owner": F.coalesce(owner, F.concat_ws(" ", "src", "tgt"))})
+    edges = edges.join(checked.withColumn("_owned", F.lit(True)), ["rel", "owner", "_owned"], "left")
     gone = ~F.col("wanted") & ~F.col("claimed") & F.coalesce("complete", F.lit(False))
     return nodes, edges.select(*EDGE, F.when(gone, "removed").when(F.col("live"), "kept").otherwise("created").alias("state"))
 
