@@ -1,25 +1,20 @@
-"""Pairs that are told by classes: expanded, they are the pairs."""
+"""Pairs of siblings, all of them, however their records are dealt out."""
 
-from quillgraph.operators.name_blocks import block_classes, block_pairs
+from collections import Counter
+
+from quillgraph.operators import edges
 from quillgraph.plans.record_queries import p15_version_siblings
 
 
-def test_sibling_classes_expand_to_all_pairs(spark):
-    pids = [2, 102, 3, 103, 203, 4, 5, 7, 98, 1]
+def test_siblings_are_all_pairs(spark):
+    pids = [2, 102, 3, 103, 203, 4, 5, 7, 98, 1, None, 3, 102]
     rows = p15_version_siblings({"works": spark.createDataFrame([(p,) for p in pids], "pid long")}).collect()
-    expected = {(a, b) for a in pids for b in pids if a % 2 == 0 and b % 2 == 1 and b % 100 - 1 == a % 100}
-    assert {(a.pid, b.pid) for a in rows for b in rows if not a.longer and b.longer and a.class_id == b.class_id} == expected
-    assert {r.pid: r.links for r in rows} == {p: sum(p in pair for pair in expected) for p in pids if any(p in pair for pair in expected)}
-    assert len(rows) == len({r.pid for r in rows}) and all(r.class_id == min(s.pid for s in rows if s.stem == r.stem and not s.longer) for r in rows)
+    known = [p for p in pids if p is not None]
+    assert Counter((r.shorter, r.longer) for r in rows) == Counter((a, b) for a in known for b in known if a % 2 == 0 and b % 2 == 1 and b % 100 - 1 == a % 100)
 
 
-def test_name_classes_expand_to_all_pairs(spark):
-    names = ["Anna Ivanova", "A. Ivanova", "Ivanova, Anna", "Ivanova", "Boris Ivanova", "Anna Ivanova", "Maria Petrova", "Petrova Maria", "李明", None, "Evgenii Ivanova", "Ievgenii Ivanova"]
-    people = spark.createDataFrame([*enumerate(names), (None, "Anna Ivanova")], "per long, name string")
-    rows = block_classes(people, "per", "name").collect()
-    members = {(r.per, r.reading) for r in rows if r.other is None}
-    links = {(r.reading, r.other) for r in rows if r.other is not None}
-    assert len(rows) == len(members) + len(links) and all(a < b for a, b in links)
-    found = {(x, y) for x, r in members for y, s in members if x < y and (r == s or (min(r, s), max(r, s)) in links)}
-    expected = {tuple(r) for r in block_pairs(people, "per", "name").collect()}
-    assert found == expected and (0, 5) in found and (0, 3) in found
+def test_meetings_in_blocks_are_all_meetings(spark, monkeypatch):
+    monkeypatch.setattr(edges, "BLOCK", 3)
+    left, right = [("x", k % 9) for k in range(20)] + [("y", 1), (None, 2), ("z", 3)], [("x", -k) for k in range(10)] + [("y", 5), ("y", 5), (None, 6)]
+    found = edges.all_meetings(spark.createDataFrame(left, "g string, a int"), spark.createDataFrame(right, "g string, b int"), "g")
+    assert Counter((r.g, r.a, r.b) for r in found.collect()) == Counter((g, a, b) for g, a in left for h, b in right if g is not None and g == h)
