@@ -136,7 +136,7 @@ def constrained_components(automatic: DataFrame, same: DataFrame, different: Dat
         later, more = _turns(edges.join(wide, "i", "left_semi"), barred.join(wide, "i", "left_semi").select("a", "b"), local, most)
         verdicts, moves = verdicts.union(later), checkpoint(moves.union(more))
     touched = checkpoint(edges.join(verdicts, "rank").where("accepted"))
-    nodes = joined.union(touched.select("a", "a")).union(touched.select("b", "b")).union(given.join(verdicts, "rank").where("accepted").select(F.explode(F.array("a", "b")).alias("x"), F.lit(None).cast("bigint")))
+    nodes = joined.union(touched.select("a", "a")).union(touched.select("b", "b"))
     nodes = nodes.groupBy("node").agg(F.min("component").alias("component"))
     placed = nodes.join(moves, nodes["component"] == moves["old"], "left").select("node", F.coalesce("new", "component").alias("component"))
-    return placed.where("component IS NOT NULL"), given.join(verdicts, "rank").select("rank", "a", "b", "accepted")
+    return placed, given.join(verdicts, "rank").select("rank", "a", "b", "accepted")
